@@ -445,8 +445,8 @@ def q_m1_gate(spark, d):
 def q_m2_fuse(spark, d):
     v = _vectors(spark, d)
     f = scoring.fuse(scoring.gate_image_features("image_vec", "has_images"), F.col("text_vec"))
-    return v.select("vec_id", F.size(f).cast("long").alias("dim"), r6(F.element_at(f, 1).cast("double")).alias("first"),
-                    r6(F.element_at(f, -1).cast("double")).alias("last"))
+    return v.select("vec_id", F.size(f).cast("long").alias("dim"), (r6(F.element_at(f, 1).cast("double")) + 0.0).alias("first"),
+                    (r6(F.element_at(f, -1).cast("double")) + 0.0).alias("last"))
 
 
 def _scored(spark, d):

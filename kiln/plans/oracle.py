@@ -370,8 +370,8 @@ union all select 5, 'details', details from f""",
     "M1_gate": """select vec_id, round(list_sum(list_transform(embedding[1:32], lambda x: cast(x * (case when label % 2 = 0 then 1.0 else 0.0 end) as double))), 6) as gated_sum
 from embeddings""",
     "M2_fuse": """select vec_id, cast(64 as bigint) as dim,
-  round(cast(embedding[1] as double) * case when label % 2 = 0 then 1.0 else 0.0 end, 6) as first,
-  round(cast(embedding[64] as double), 6) as last from embeddings""",
+  round(cast(embedding[1] as double) * case when label % 2 = 0 then 1.0 else 0.0 end, 6) + 0.0 as first,
+  round(cast(embedding[64] as double), 6) + 0.0 as last from embeddings""",
     "M4_clamp": with_views("predictions") + "select id, round(case when isnan(prediction) then prediction else greatest(1.0, least(5.0, prediction)) end, 6) as score from predictions",
     "M5_submission": with_views("predictions") + """select cast(id as varchar) as item_id,
   printf('%.2f', greatest(1.0, least(5.0, cast(cast(prediction as float) as double)))) as score,
