@@ -8,3 +8,14 @@ Every operator is either ``Column -> Column`` (``kiln.functions``) or
 """
 
 __version__ = "0.1.0"
+
+# Ship kiln's own code inside pickled UDFs and batch functions, so Python
+# workers need no installed copy of the package (no --py-files step).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass

@@ -35,7 +35,9 @@ def strip(c) -> Column:
 def scrub(c) -> Column:
     """Tab and newline to space, carriage return removed, then strip.
     Null stays null."""
-    return strip(F.translate(_col(c), "\t\n\r", "  "))
+    x = F.replace(_col(c), F.lit("\t"), F.lit(" "))
+    x = F.replace(x, F.lit("\n"), F.lit(" "))
+    return strip(F.replace(x, F.lit("\r"), F.lit("")))
 
 
 def clean_text(c) -> Column:
@@ -43,8 +45,12 @@ def clean_text(c) -> Column:
     space (case-insensitive; runs before tag removal), HTML tags (shortest
     match, not across ``\\n``) to a space, whitespace runs to one space, strip."""
     x = F.replace(F.replace(_col(c), F.lit("\\'"), F.lit("")), F.lit('\\"'), F.lit(""))
-    x = F.regexp_replace(x, rf"(?iu)(https?://{NON_WS_CLASS}+|www\.{NON_WS_CLASS}+)", " ")
-    x = F.regexp_replace(x, r"(?d)<.*?>", " ")
+    # Exact prefilters: a URL needs "http" or "www" (the only case-fold
+    # partner of these letters is their upper case), a tag needs "<".
+    low = F.lower(x)
+    x = F.when(low.contains("http") | low.contains("www"),
+               F.regexp_replace(x, rf"(?iu)(https?://{NON_WS_CLASS}+|www\.{NON_WS_CLASS}+)", " ")).otherwise(x)
+    x = F.when(x.contains("<"), F.regexp_replace(x, r"(?d)<.*?>", " ")).otherwise(x)
     x = F.regexp_replace(x, rf"{WS_CLASS}+", " ")
     return strip(x)
 
@@ -82,6 +88,9 @@ def format_details(c) -> Column:
     """
     d = _col(c)
     d0 = F.coalesce(d, F.lit(""))
+    # Text not starting with "{" (after JSON whitespace) is either invalid
+    # JSON or a non-object value: both come back unchanged, no parse needed.
+    maybe_obj = F.ltrim(d0, F.lit(" \t\n\r")).startswith("{")
     shape = F.schema_of_variant(F.try_parse_json(d0))
     is_obj = shape.startswith("OBJECT<")
     simple = is_obj & ~F.substring(shape, 8, 1 << 30).rlike(
@@ -93,9 +102,10 @@ def format_details(c) -> Column:
                                               F.lit(";"), F.lit(" ")))),
         " | ")
     return (F.when(d0 == "", F.lit(""))
+            .when(~maybe_obj, d0)
             .when(simple, native)
             .when(shape.isNotNull() & ~is_obj, d0)
-            .otherwise(_details_udf(F.when(shape.isNull() | (is_obj & ~simple), d0))))
+            .otherwise(_details_udf(F.when(maybe_obj & (shape.isNull() | (is_obj & ~simple)), d0))))
 
 
 # --- Labelled text -------------------------------------------------------------
