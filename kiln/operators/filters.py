@@ -35,9 +35,23 @@ def keep_mask(df: DataFrame) -> Column:
     return required_present(df) & long_enough() & has_image_urls()
 
 
+def pinned_filter(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter ``df`` on ``cond`` without letting Catalyst push the predicate
+    below the projection that computes the columns it reads.
+
+    When a predicate refers to derived text columns, pushdown substitutes
+    their expressions into the filter and the projection computes them again
+    -- the normalisation would run twice per row. A projection holding a
+    non-deterministic column is never pushed through, so an always-true
+    ``rand(0) >= 0`` term pins the filter above it. Plain-column predicates
+    should use ``filter`` so they still reach the scan."""
+    return (df.withColumn("__pin", F.rand(0)).filter(cond & (F.col("__pin") >= 0)).drop("__pin"))
+
+
 def filter_records(df: DataFrame) -> DataFrame:
-    """F1-F4 over normalised records."""
-    return df.filter(keep_mask(df))
+    """F1-F4 over normalised records (evaluated on the normalised values,
+    once per row)."""
+    return pinned_filter(df, keep_mask(df))
 
 
 def valid_entries_mask() -> Column:

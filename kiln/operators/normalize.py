@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from kiln.config import CLEANED_DOUBLE_COLUMNS, CLEANED_STRING_COLUMNS, LIST_SEPARATOR, SCRUBBED_FIELDS
 from kiln.functions.text import format_details, scrub, strip
+from kiln.operators.partitioning import spread
 
 _STR_DEFAULTS = ("main_category", "title")
 _NUM_DEFAULTS = ("average_rating", "rating_number")
@@ -71,7 +72,7 @@ def normalize_records(df: DataFrame, hi_res="images.hi_res", large="images.large
     """N1-N7 in one projection. ``hi_res``/``large``/``videos`` name the URL
     lists (nested struct fields by default). Columns in ``keep`` that exist
     are carried through (row key, source category)."""
-    df = with_field_defaults(df)
+    df = with_field_defaults(spread(df))
     feats = df["features"] if "features" in df.columns else F.lit(None)
     desc = df["description"] if "description" in df.columns else F.lit(None)
     details = df["details"] if "details" in df.columns else F.lit(None).cast("string")

@@ -15,18 +15,20 @@ instead:
    (narrow, no shuffle of the big table); only rows inside boundary buckets
    (about n_group / 2^20 each) are ranked exactly with a window.
 
-The per-group boundary table is checkpointed and broadcast only under a
-row bound (see ``bounded_broadcast``).
+The histogram is checkpointed once (every later step reads the small
+table); the per-group boundary table is checkpointed and broadcast only
+under a row bound (see ``bounded_broadcast``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import bounded_broadcast
+from kiln.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast, materialize
 
 HASH = "__h"
 BUCKET = "__b"
@@ -50,16 +52,24 @@ def group_histogram(df: DataFrame, groups: list[str]) -> DataFrame:
     return df.groupBy(*groups, _bucket(F.col(HASH)).alias(BUCKET)).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame, cuts: list[str],
-                  order_col: str) -> DataFrame:
+def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable[[DataFrame], DataFrame],
+                  cuts: list[str], order_col: str) -> DataFrame:
     """Classify every row of ``df`` against per-group cut positions.
 
     ``df`` carries ``__h`` (hash hex) and ``order_col`` (tie break).
     ``quotas`` has ``groups`` + one integer column per name in ``cuts``
-    (non-decreasing). Output: ``df`` + ``__rank_slot`` = number of cuts the
-    row's rank is beyond (0 = within the first cut).
+    (non-decreasing), or is a function from per-group row counts
+    (``groups`` + ``__c``) to such a table -- the counts then come from the
+    histogram, with no extra pass over ``df``. Output: ``df`` +
+    ``__rank_slot`` = number of cuts the row's rank is beyond (0 = within
+    the first cut).
     """
-    hist = group_histogram(df, groups)
+    hist = materialize(group_histogram(df, groups))
+    # The boundary table has at most one row per group of the histogram, so
+    # the histogram's row count (a read of the small checkpoint) bounds it.
+    hist_rows = hist.count()
+    if callable(quotas):
+        quotas = quotas(hist.groupBy(*groups).agg(F.sum("__n").alias("__c")))
     w = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__n").over(w)).withColumn("__before", F.col("__cum") - F.col("__n"))
     hq = hist.join(quotas, groups, "inner")
@@ -73,7 +83,7 @@ def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame, cuts: lis
     # Groups whose cuts are all zero have no boundary; give them one row so
     # the classification below sees their quotas.
     bounds = quotas.select(*groups).join(bounds, groups, "left")
-    bounds = bounded_broadcast(bounds)
+    bounds = F.broadcast(bounds) if hist_rows <= BROADCAST_MAX_ROWS else bounded_broadcast(bounds)
 
     x = df.withColumn(BUCKET, _bucket(F.col(HASH))).join(bounds, groups, "left")
     # Slot from bucket comparison, valid when the row is in no boundary bucket.

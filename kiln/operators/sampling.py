@@ -22,7 +22,8 @@ def sample_per_group(df: DataFrame, group: str = "category", id_col: str = "item
     if frac is None:
         return df
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
-    counts = h.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    quotas = counts.select(group, sample_target(F.col("__n"), frac, min_samples).alias("__q"))
+
+    def quotas(counts):
+        return counts.select(group, sample_target(F.col("__c"), frac, min_samples).alias("__q"))
     ranked = cut_positions(h, [group], quotas, ["__q"], id_col)
     return ranked.filter(F.col("__rank_slot") == 0).drop("__rank_slot", HASH)

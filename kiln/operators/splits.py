@@ -75,10 +75,10 @@ def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id
                      test_size: float = 0.2) -> DataFrame:
     """P3 + P4: add ``split`` in {train, val, test} (80/10/10 by default)."""
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
-    counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
-    q = materialize(split_quotas(counts, label, test_size))
-    quotas = q.select(label, F.col("q_train").alias("__q1"),
-                      (F.col("q_train") + F.col("q_val")).alias("__q2"))
+
+    def quotas(counts):
+        q = materialize(split_quotas(counts, label, test_size))
+        return q.select(label, F.col("q_train").alias("__q1"), (F.col("q_train") + F.col("q_val")).alias("__q2"))
     ranked = cut_positions(h, [label], quotas, ["__q1", "__q2"], id_col)
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")),
                          F.col("__rank_slot") + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kiln.config import END_ID, PAD_ID, START_ID, UNK_ID, VOCAB_CAP
 from kiln.functions.text import product_text
 from kiln.operators.indexing import with_row_index
+from kiln.operators.partitioning import spread
 
 # Word, number, or single other non-space character, on lower-cased text.
 TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -35,7 +36,7 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 2,
     frequent first (ties by token), cut to ``cap`` ids including the four
     reserved ones. Counting is a partial aggregate (hot tokens combine
     map-side); the cut is a top-k, so the result is bounded by ``cap``."""
-    counts = (df.select(F.explode(tokens(F.col(text_col))).alias("token"))
+    counts = (spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter(F.col("cnt") >= min_count))
     top = counts.orderBy(F.desc("cnt"), "token").limit(cap - 4)
@@ -46,18 +47,20 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 2,
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "item_id", text_col: str = "text",
            max_length: int = 256, out: str = "input_ids") -> DataFrame:
     """T4: ``[START] + ids + [END]`` truncated to ``max_length`` in total;
-    unknown tokens map to UNK. Truncation is applied before the vocabulary
-    join; the vocabulary is bounded by the cap, so it is broadcast."""
+    unknown tokens map to UNK. Returns (``id_col``, ``out``), one row per
+    input row (rows without tokens get ``[START, END]``).
+
+    Truncation happens before the explode; the vocabulary is bounded by its
+    cap, so it is broadcast; the regroup shuffles only (id, pos, token id)."""
     body = max_length - 2
-    ex = (df.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "token"))
-          .filter(F.col("pos").isNull() | (F.col("pos") < body)))
+    ex = spread(df.select(id_col, text_col)).select(
+        id_col, F.posexplode_outer(F.slice(tokens(F.col(text_col)), 1, body)).alias("pos", "token"))
     j = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
     ids = (j.groupBy(id_col)
            .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                 F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))))).alias("__s")))
-    enc = ids.select(id_col, F.concat(F.array(F.lit(START_ID)), F.transform("__s", lambda s: s["tid"]),
-                                      F.array(F.lit(END_ID))).alias(out))
-    return df.join(enc, id_col, "left")
+    return ids.select(id_col, F.concat(F.array(F.lit(START_ID)), F.transform("__s", lambda s: s["tid"]),
+                                       F.array(F.lit(END_ID))).alias(out))
 
 
 def batch_index(df: DataFrame, order_cols, batch_size: int = 32) -> DataFrame:
