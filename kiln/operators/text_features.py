@@ -88,10 +88,14 @@ def assemble_batches(indexed: DataFrame, id_col: str = "item_id", ids_col: str =
         F.transform("m", lambda r: F.concat(F.array_repeat(F.lit(1), F.size(r[ids_col])),
                                             F.array_repeat(F.lit(0), longest - F.size(r[ids_col]))))
         .alias("attention_mask"),
-        *[F.transform("m", lambda r, c=c: r[c]).alias(c + "s") for c in extra],
+        *[F.transform("m", _field(c)).alias(c + "s") for c in extra],
     )
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
 def token_counts(batches: DataFrame) -> DataFrame:
     """Real tokens per batch (mask sum), samples, and average per sample."""
     per = batches.select(
