@@ -40,16 +40,25 @@ def valid_size(width: Column, height: Column) -> Column:
 
 
 def attach_images(df: DataFrame, images: DataFrame, cand_col: str = "candidates",
-                  id_col: str = "item_id", key: str = "origin") -> DataFrame:
+                  id_col: str = "item_id", key: str = "origin", k: int | None = None) -> DataFrame:
     """I3 + I4 + I5: join each row's candidates with the table of landed
     images (``origin``, ``width``, ``height``), keep valid ones in candidate
     order, row kept when nothing matches. Adds ``images`` (array of origins)
-    and ``has_images``. A hot URL shared by many rows is a skewed join key:
-    AQE's skew-join split applies to this left join."""
-    imgs = images.filter(valid_size(F.col("width"), F.col("height"))).select(
-        F.col(key).alias("__url"), F.lit(True).alias("__ok"))
-    # Exploded candidates (k per row, k small) joined with the image table,
-    # regrouped per row id, then joined back: the big table moves once.
+    and ``has_images``.
+
+    Landed images are deduplicated by origin (a hash aggregate whose
+    partitioning the join then reuses). With ``k=1`` (one candidate per row,
+    the default configuration) this is a single left join on the candidate;
+    otherwise candidates are exploded, matched, regrouped per row and joined
+    back. A hot URL shared by many rows is a skewed join key: AQE's
+    skew-join split applies to the left side of these joins."""
+    imgs = (images.filter(valid_size(F.col("width"), F.col("height")))
+            .select(F.col(key).alias("__url")).distinct().withColumn("__ok", F.lit(True)))
+    empty = F.array().cast(T.ArrayType(T.StringType()))
+    if k == 1:
+        out = df.withColumn("__url", F.get(F.col(cand_col), 0)).join(imgs, "__url", "left")
+        found = F.when(F.col("__ok"), F.array(F.col("__url"))).otherwise(empty)
+        return out.withColumn("images", found).withColumn("has_images", F.size(found) > 0).drop("__url", "__ok")
     ex = df.select(id_col, F.posexplode(cand_col).alias("__pos", "__url"))
     hit = (ex.join(imgs, "__url", "inner")
            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__url"))).alias("__m")))

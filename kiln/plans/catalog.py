@@ -365,7 +365,7 @@ def q_i2_local_paths(spark, d):
 
 def _attached(spark, d):
     k = kept(spark, d).withColumn("candidates", images.candidate_urls(k=1))
-    return images.attach_images(k, view(spark, "images", d), "candidates", "item_id")
+    return images.attach_images(k, view(spark, "images", d), "candidates", "item_id", k=1)
 
 
 def q_i3_attach(spark, d):

@@ -24,7 +24,7 @@ def inference_rows(spark: SparkSession, input_csv: str, images_dir: str, k: int
     rows = text_features.add_text(rows, with_details=False, out="question")
     rows = rows.withColumn("candidates", images.candidate_paths("image_paths", k))
     imgs = read_image_dir(spark, images_dir).select(F.col("path").alias("origin"), "width", "height")
-    return images.attach_images(rows, imgs.filter(F.col("width") > 0))
+    return images.attach_images(rows, imgs.filter(F.col("width") > 0), k=k)
 
 
 def generate_submission(spark: SparkSession, input_csv: str, images_dir: str, vectors: DataFrame,

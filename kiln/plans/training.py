@@ -25,7 +25,7 @@ def training_table(cleaned: DataFrame, image_table: DataFrame | None = None,
     s = text_features.add_text(s, with_details=False, out="question")
     s = s.withColumn("candidates", images.candidate_urls(k=train_cfg.num_images_per_sample))
     if image_table is not None:
-        s = images.attach_images(s, image_table)
+        s = images.attach_images(s, image_table, k=train_cfg.num_images_per_sample)
         s = s.withColumn("has_images_value", images.has_images_value())
     return weights.label_defaults(s)
 

@@ -114,8 +114,12 @@ def test_attach_images(spark):
     rows = spark.createDataFrame([(1, "a | b", "c"), (2, None, "d"), (3, None, None)],
                                  "item_id long, images_hi_res string, images_large string")
     table = spark.createDataFrame([("a", 5, 50), ("b", 50, 50), ("d", 10, 10)], "origin string, width int, height int")
-    k1 = images.attach_images(rows.withColumn("candidates", images.candidate_urls(k=1)), table)
-    got = {r.item_id: (r.images, r.has_images) for r in k1.collect()}
-    assert got == {1: ([], False), 2: (["d"], True), 3: ([], False)}   # broken first URL not replaced
+    for fast in (None, 1):
+        k1 = images.attach_images(rows.withColumn("candidates", images.candidate_urls(k=1)), table, k=fast)
+        got = {r.item_id: (r.images, r.has_images) for r in k1.collect()}
+        assert got == {1: ([], False), 2: (["d"], True), 3: ([], False)}   # broken first URL not replaced
+    dup = table.unionByName(table)
+    k1 = images.attach_images(rows.withColumn("candidates", images.candidate_urls(k=1)), dup, k=1)
+    assert k1.count() == 3
     k2 = images.attach_images(rows.withColumn("candidates", images.candidate_urls(k=2)), table)
     assert {r.item_id: r.images for r in k2.collect()}[1] == ["b"]
