@@ -43,17 +43,17 @@ def seeded_hash(seed, *parts) -> Column:
     return F.md5(F.concat(*items))
 
 
-def _bucket(h: Column) -> Column:
+def bucket_of(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
 
 
 def group_histogram(df: DataFrame, groups: list[str]) -> DataFrame:
     """Rows per (group, hash bucket); ``df`` must carry ``__h``."""
-    return df.groupBy(*groups, _bucket(F.col(HASH)).alias(BUCKET)).agg(F.count(F.lit(1)).alias("__n"))
+    return df.groupBy(*groups, bucket_of(F.col(HASH)).alias(BUCKET)).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable[[DataFrame], DataFrame],
-                  cuts: list[str], order_col: str) -> DataFrame:
+                  cuts: list[str], order_col: str, hist: DataFrame | None = None) -> DataFrame:
     """Classify every row of ``df`` against per-group cut positions.
 
     ``df`` carries ``__h`` (hash hex) and ``order_col`` (tie break).
@@ -62,9 +62,11 @@ def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable
     (``groups`` + ``__c``) to such a table -- the counts then come from the
     histogram, with no extra pass over ``df``. Output: ``df`` +
     ``__rank_slot`` = number of cuts the row's rank is beyond (0 = within
-    the first cut).
+    the first cut). A precomputed, materialised ``hist`` (``groups`` +
+    ``__b`` + ``__n``) may be passed to save the histogram pass.
     """
-    hist = materialize(group_histogram(df, groups))
+    if hist is None:
+        hist = materialize(group_histogram(df, groups))
     # The boundary table has at most one row per group of the histogram, so
     # the histogram's row count (a read of the small checkpoint) bounds it.
     hist_rows = hist.count()
@@ -85,7 +87,7 @@ def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable
     bounds = quotas.select(*groups).join(bounds, groups, "left")
     bounds = F.broadcast(bounds) if hist_rows <= BROADCAST_MAX_ROWS else bounded_broadcast(bounds)
 
-    x = df.withColumn(BUCKET, _bucket(F.col(HASH))).join(bounds, groups, "left")
+    x = df.withColumn(BUCKET, bucket_of(F.col(HASH))).join(bounds, groups, "left")
     # Slot from bucket comparison, valid when the row is in no boundary bucket.
     # Cut i with no boundary bucket (q = 0) is passed by every row.
     beyond = [F.when(F.col(f"__B{i}").isNull() | (F.col(BUCKET) > F.col(f"__B{i}")), 1).otherwise(0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.operators.joins import bounded_broadcast, materialize
-from kiln.operators.ranking import HASH, cut_positions, seeded_hash
+from kiln.operators.ranking import BUCKET, HASH, cut_positions, group_histogram, seeded_hash
 
 STRATUM = "strat_label"
 
@@ -25,11 +25,22 @@ def rare_strata(df: DataFrame, value_col: str = "average_rating", threshold: int
     keep their string form. The value-count table is checked before it is
     broadcast."""
     counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__vc"))
-    counts = bounded_broadcast(counts)
-    return (df.join(counts, [value_col], "left")
-            .withColumn(out_col, F.when(F.col("__vc") <= threshold, F.lit("RARE"))
-                        .otherwise(F.col(value_col).cast("string")))
-            .drop("__vc"))
+    counts = bounded_broadcast(_strata_map(counts, value_col, threshold, out_col))
+    return _attach_strata(df, counts, value_col)
+
+
+def _strata_map(counts: DataFrame, value_col: str, threshold: int, out_col: str) -> DataFrame:
+    """value -> stratum label; a missing value keeps its own label ``nan``
+    (it is never counted as rare), like a string cast of NaN."""
+    label = (F.when(F.col(value_col).isNull(), F.lit("nan"))
+             .when(F.col("__vc") <= threshold, F.lit("RARE"))
+             .otherwise(F.col(value_col).cast("string")))
+    return counts.select(value_col, label.alias(out_col))
+
+
+def _attach_strata(df: DataFrame, mapping: DataFrame, value_col: str) -> DataFrame:
+    m = mapping.withColumnRenamed(value_col, "__v")
+    return df.join(m, df[value_col].eqNullSafe(m["__v"]), "left").drop("__v")
 
 
 def _largest_remainder(counts: DataFrame, total_col: str, draws_col: str, label: str,
@@ -85,6 +96,30 @@ def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id
     return ranked.withColumn("split", split).drop("__rank_slot", HASH)
 
 
+def rare_stratified_split(df: DataFrame, value_col: str = "average_rating", threshold: int = 50,
+                          id_col: str = "item_id", seed: int = 42, test_size: float = 0.2,
+                          label: str = STRATUM) -> DataFrame:
+    """P2 + P3 + P4 with one pass for counting: a histogram per (value,
+    hash bucket) gives the value counts (for the rare merge) and, re-keyed
+    through the small value -> stratum map, the per-stratum histogram the
+    cut positions need. Same result as ``stratified_split(rare_strata(..))``."""
+    h = df.withColumn(HASH, seeded_hash(seed, id_col))
+    vhist = materialize(group_histogram(h, [value_col]))
+    counts = vhist.groupBy(value_col).agg(F.sum("__n").alias("__vc"))
+    mapping = bounded_broadcast(_strata_map(counts, value_col, threshold, label))
+    m = mapping.withColumnRenamed(value_col, "__v")
+    shist = materialize(vhist.join(m, vhist[value_col].eqNullSafe(m["__v"]), "inner")
+                        .groupBy(label, BUCKET).agg(F.sum("__n").alias("__n")))
+    rows = _attach_strata(h, mapping, value_col)
+
+    def quotas(c):
+        q = materialize(split_quotas(c, label, test_size))
+        return q.select(label, F.col("q_train").alias("__q1"), (F.col("q_train") + F.col("q_val")).alias("__q2"))
+    ranked = cut_positions(rows, [label], quotas, ["__q1", "__q2"], id_col, hist=shist)
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("__rank_slot") + 1)
+    return ranked.withColumn("split", split).drop("__rank_slot", HASH)
+
+
 def split_sizes(split_df: DataFrame) -> DataFrame:
     """P5: rows per split."""
     return split_df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

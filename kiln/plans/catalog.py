@@ -58,8 +58,7 @@ def sampled(spark, d) -> DataFrame:
 
 
 def split_table(spark, d) -> DataFrame:
-    s = splits.rare_strata(kept(spark, d), "average_rating", RARE)
-    return splits.stratified_split(s, seed=SEED)
+    return splits.rare_stratified_split(kept(spark, d), "average_rating", RARE, seed=SEED)
 
 
 def preds(spark, d) -> DataFrame:

@@ -124,3 +124,13 @@ def test_shuffle_rows_index(spark):
     assert sorted(r.row_ord for r in rows) == list(range(1000))
     by_ord = [r.shuffle_key for r in sorted(rows, key=lambda r: r.row_ord)]
     assert by_ord == sorted(by_ord)
+
+
+def test_one_pass_split_equals_two_step(spark):
+    df = skewed(spark, 3000).withColumn(
+        "average_rating", F.when(F.col("item_id") % 97 == 0, F.lit(None)).otherwise(F.col("average_rating")))
+    a = splits.stratified_split(splits.rare_strata(df, "average_rating", 40), seed=5)
+    b = splits.rare_stratified_split(df, "average_rating", 40, seed=5)
+    key = ["item_id", "strat_label", "split"]
+    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    assert b.filter("strat_label = 'nan'").count() == df.filter("average_rating is null").count()
