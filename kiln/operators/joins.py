@@ -26,9 +26,3 @@ def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     if not materialized:
         small = materialize(small)
     return F.broadcast(small) if small.count() <= max_rows else small
-
-
-def scalar_broadcast(one_row: DataFrame) -> DataFrame:
-    """A global aggregate has exactly one row by construction: broadcasting
-    it is size-safe without a check."""
-    return F.broadcast(one_row)

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import scalar_broadcast
-
 
 def value_counts(df: DataFrame, col: str, count_name: str = "count") -> DataFrame:
     """A1/A2: non-null value counts with percentage of the non-null total,
-    ordered by count descending then value. The total is a one-row
-    aggregate joined by broadcast."""
+    ordered by count descending then value. The total is a scalar subquery
+    over the (small) grouped counts; Spark reuses the counts' shuffle for it."""
     x = df.filter(F.col(col).isNotNull())
     counts = x.groupBy(col).agg(F.count(F.lit(1)).alias(count_name))
-    total = scalar_broadcast(counts.agg(F.sum(count_name).alias("__total")))
-    return (counts.crossJoin(total)
-            .withColumn("percentage", F.col(count_name) * F.lit(100.0) / F.col("__total"))
-            .drop("__total").orderBy(F.desc(count_name), F.col(col)))
+    total = counts.agg(F.sum(count_name)).scalar()
+    return (counts.withColumn("percentage", F.col(count_name) * F.lit(100.0) / total)
+            .orderBy(F.desc(count_name), F.col(col)))
 
 
 def column_profile(df: DataFrame) -> DataFrame:

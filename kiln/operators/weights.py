@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import scalar_broadcast
-
 MAX_WEIGHT = 5.0
 
 
@@ -20,12 +18,12 @@ def mean_log_count(df: DataFrame, count_col: str = "rating_number", split_col: s
 def add_weights(df: DataFrame, mean_df: DataFrame, count_col: str = "rating_number",
                 out: str = "weight") -> DataFrame:
     """``min(log1p(count) / mean, 5)``; all ones when the mean is not
-    positive. The mean is a one-row table (size-safe broadcast)."""
-    m = F.col("mean_log_count")
+    positive. The one-row mean enters as a scalar subquery: Spark runs it
+    once as its own job and ships the value, so no join is planned."""
+    m = mean_df.select("mean_log_count").scalar()
     raw = F.log1p(F.coalesce(F.col(count_col).cast("double"), F.lit(0.0)))
     w = F.when(m > 0, raw / m).otherwise(F.lit(1.0))
-    return (df.crossJoin(scalar_broadcast(mean_df.select("mean_log_count")))
-            .withColumn(out, F.least(w, F.lit(MAX_WEIGHT))).drop("mean_log_count"))
+    return df.withColumn(out, F.least(w, F.lit(MAX_WEIGHT)))
 
 
 def label_defaults(df: DataFrame, label_col: str = "average_rating", count_col: str = "rating_number") -> DataFrame:

@@ -206,8 +206,9 @@ from st left join bst using (run_id) left join history h on h.run_id = st.run_id
 
 
 def weighted_preds() -> str:
-    return ("wp as (select p.*, least(case when m.ml > 0 then ln(1 + coalesce(p.rating_number, 0)) / m.ml else 1.0 end, 5.0) as weight "
-            "from predictions p cross join (select avg(ln(1 + coalesce(rating_number, 0))) as ml from predictions) m)")
+    return ("wm as (select avg(ln(1 + coalesce(rating_number, 0))) as ml from predictions),\n"
+            "wp as (select p.*, least(case when (select ml from wm) > 0 then ln(1 + coalesce(p.rating_number, 0)) / (select ml from wm) "
+            "else 1.0 end, 5.0) as weight from predictions p)")
 
 
 HISTORY = f"""hs as (select *, case when id % 5 < 4 then 'train' else 'val' end as split from wp),
@@ -343,9 +344,11 @@ select batch_id, cast(n_samples as bigint) as samples, cast(tokens as bigint) as
         "select item_id, case when has_images then 1.0 else 0.0 end as has_images from att",
     "W1_mean_log_count": with_views(*PREP, "strata", "quotas", "split") +
         "select round(avg(ln(1 + coalesce(cast(rating_number as double), 0))), 6) as mean_log_count from split where split = 'train'",
-    "W2_weights": with_views(*PREP, "strata", "quotas", "split") + """select item_id,
-  round(least(case when m.ml > 0 then ln(1 + coalesce(cast(rating_number as double), 0)) / m.ml else 1.0 end, 5.0), 6) as weight
-  from split cross join (select avg(ln(1 + coalesce(cast(rating_number as double), 0))) as ml from split where split = 'train') m""",
+    "W2_weights": with_views(*PREP, "strata", "quotas", "split") + """, wm as (select avg(ln(1 + coalesce(cast(rating_number as double), 0))) as ml
+  from split where split = 'train')
+select item_id,
+  round(least(case when (select ml from wm) > 0 then ln(1 + coalesce(cast(rating_number as double), 0)) / (select ml from wm)
+  else 1.0 end, 5.0), 6) as weight from split""",
     "W3_label_defaults": with_views(*PREP) + "select item_id, 0.0::double as label, "
         "round(coalesce(cast(rating_number as double), 0.0), 6) as rating_number from kept",
     "A1_category_counts": with_views(*PREP, "sampled") + """select category as main_category, count(*) as "count",

@@ -28,7 +28,7 @@ select d.doc_id as item_id, d.source as category,
   case when d.doc_id % 31 = 0 then {empty}
        else {arr}(substr(d.text, 1, 30), null, 'a|b ', substr(d.text, 31, 30)) end as features,
   case when d.doc_id % 29 = 0 then null
-       else {arr}(concat(' ', substr(d.text, 61, 200)),
+       else {arr}(concat(' ', substr(d.text, 61)),
                   case when d.doc_id % 5 = 0 then 'see http://ex.com/a?b=1 <b>now</b>' else 'plain' end) end as description,
   case when d.doc_id % 23 = 0 then null
        else {arr}(concat('img/', cast(d.doc_id as {str}), '_h.png'), null, '') end as hi_res,
@@ -45,7 +45,7 @@ select doc_id as item_id,
               when doc_id % 5 = 1 then '<b>bold</b><br/> '
               when doc_id % 5 = 2 then concat('tab', chr(9), 'cr', chr(13), 'q', chr(92), chr(39), 's ')
               when doc_id % 5 = 3 then 'WWW.Site.org/x <a href="http://q">z</a> '
-              else '' end, substr(text, 1, 400)) as t
+              else '' end, text) as t
 from {t_documents}""",
     "predictions": """
 select vec_id % 4 as run_id, vec_id % 3 + 1 as epoch, vec_id as id,
@@ -73,10 +73,15 @@ select vec_id as model, 1000000 * (1 + vec_id % 3000) as params, cast(100000000
   cast(label as double) / 10 - cast(0.2 as double) as plcc
 from {t_embeddings}""",
     "images": """
-select concat('img/', cast(doc_id as {str}), case when k = 0 then '_h.png' else '_l.png' end) as origin,
-  cast(8 + (doc_id * 13) % 40 as int) as width, cast(9 + (doc_id * 11) % 40 as int) as height
-from {t_documents} cross join (select 0 as k union all select 1 as k) z
-where (doc_id + k) % 5 <> 0""",
+select concat('img/', cast(doc_id as {str}), '_h.png') as origin,
+  case when doc_id % 5 = 0 then cast(-1 as int) else cast(8 + (doc_id * 13) % 40 as int) end as width,
+  case when doc_id % 5 = 0 then cast(-1 as int) else cast(9 + (doc_id * 11) % 40 as int) end as height
+from {t_documents}
+union all
+select concat('img/', cast(doc_id as {str}), '_l.png') as origin,
+  case when doc_id % 5 = 4 then cast(-1 as int) else cast(8 + (doc_id * 13) % 40 as int) end as width,
+  case when doc_id % 5 = 4 then cast(-1 as int) else cast(9 + (doc_id * 11) % 40 as int) end as height
+from {t_documents}""",
 }
 
 
