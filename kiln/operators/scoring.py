@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.metrics import clamp_score
+from kiln.operators.joins import bounded_broadcast, materialize
 
 
 def gate_image_features(img="image_vec", flag="has_images") -> Column:
@@ -134,75 +135,92 @@ def fit_robust(df: DataFrame, feat_col: str = "features", label_col: str = "labe
 
 
 def _partial_normal_equations(df: DataFrame, group_col: str, feat_col: str, label_col: str,
-                              weight_col: str, betas: dict | None, dim: int) -> DataFrame:
-    """Per partition and group: ``X'WX`` and ``X'Wy`` (flattened) with the
-    IRLS weights of the current coefficients. Output has one row per
-    (partition, group), so the merge below is bounded by the partition count."""
-    sc = df.sparkSession.sparkContext
-    bb = sc.broadcast(betas or {})
+                              w_col: str) -> DataFrame:
+    """Per partition and group: ``[n] + X'WX (flattened) + X'Wy`` with an
+    intercept column appended to X. One row per (partition, group)."""
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
-        b = bb.value
         for pdf in it:
             for g, part in pdf.groupby(group_col, sort=False):
                 X = np.stack(part[feat_col].map(np.asarray).to_numpy()).astype(np.float64)
                 X = np.hstack([X, np.ones((len(X), 1))])
                 y = part[label_col].to_numpy(np.float64)
-                w = part[weight_col].to_numpy(np.float64)
-                if g in b:
-                    r = np.abs(X @ np.asarray(b[g]) - y)
-                    w = w * np.where(r < 1.0, 1.0, 1.0 / np.maximum(r, 1e-12))
-                xtx = (X * w[:, None]).T @ X
-                xty = (X * w[:, None]).T @ y
-                n = len(X)
-                if g in acc:
-                    a = acc[g]
-                    acc[g] = (a[0] + xtx, a[1] + xty, a[2] + n)
-                else:
-                    acc[g] = (xtx, xty, n)
+                w = part[w_col].to_numpy(np.float64)
+                v = np.concatenate([[len(X)], ((X * w[:, None]).T @ X).ravel(), (X * w[:, None]).T @ y])
+                acc[g] = acc[g] + v if g in acc else v
         if acc:
-            yield pd.DataFrame({group_col: list(acc), "xtx": [v[0].ravel().tolist() for v in acc.values()],
-                                "xty": [v[1].tolist() for v in acc.values()],
-                                "n": [v[2] for v in acc.values()]})
+            yield pd.DataFrame({group_col: list(acc), "__m": [v.tolist() for v in acc.values()]})
+
+    schema = T.StructType([df.schema[group_col], T.StructField("__m", T.ArrayType(T.DoubleType()))])
+    return df.select(group_col, feat_col, label_col, w_col).mapInPandas(fn, schema)
+
 
-    schema = T.StructType([df.schema[group_col], T.StructField("xtx", T.ArrayType(T.DoubleType())),
-                           T.StructField("xty", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
-    return df.select(group_col, feat_col, label_col, weight_col).mapInPandas(fn, schema)
+def _solve(group_field: T.StructField):
+    """Row-wise solve of each group's summed system (one row per group)."""
+    name = group_field.name
+
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            n, coef, icpt = [], [], []
+            for m in pdf["__m"]:
+                m = np.asarray(m, dtype=np.float64)
+                k = int(round((-1 + math.sqrt(1 + 4 * (len(m) - 1))) / 2))
+                beta = np.linalg.lstsq(m[1:1 + k * k].reshape(k, k), m[1 + k * k:], rcond=None)[0]
+                n.append(int(m[0]))
+                coef.append(beta[:-1].tolist())
+                icpt.append(float(beta[-1]))
+            yield pd.DataFrame({name: pdf[name], "n": n, "coef": coef, "intercept": icpt})
+
+    schema = T.StructType([group_field, T.StructField("n", T.LongType()),
+                           T.StructField("coef", T.ArrayType(T.DoubleType())),
+                           T.StructField("intercept", T.DoubleType())])
+    return fn, schema
 
 
 def fit_per_group(df: DataFrame, group_col: str, feat_col: str = "features", label_col: str = "label",
                   weight_col: str = "weight", iters: int = 8) -> DataFrame:
     """M7 per group: weighted smooth-L1 (beta 1) linear fit per group by
-    iteratively reweighted least squares. Each iteration is one distributed
-    pass that builds per-partition normal equations and merges them per
-    group (a group never has to fit in one task); only the small
-    coefficient vectors return to the driver between iterations."""
-    spark = df.sparkSession
-    dim = None
-    betas: dict = {}
-    out = None
+    iteratively reweighted least squares. Output: ``group_col, n, coef,
+    intercept``, one row per group.
+
+    The input is checkpointed once. Each iteration is one distributed pass:
+    the IRLS weight of every row is a column expression over the current
+    coefficients (a per-group table joined by size-checked broadcast),
+    per-partition normal equations are built with NumPy and summed per
+    (group, entry) -- a group never has to fit in one task -- and each
+    group's small system is solved on the executors. The coefficient table
+    is checkpointed per iteration, so lineage does not grow; nothing but
+    row counts reaches the driver."""
+    data = materialize(df.select(group_col, feat_col, label_col, weight_col))
+    solve, schema = _solve(df.schema[group_col])
+    betas = None
     for _ in range(iters + 1):
-        parts = _partial_normal_equations(df, group_col, feat_col, label_col, weight_col, betas, dim)
-        merged = (parts.select(group_col, "n", F.posexplode("xtx").alias("i", "v"))
-                  .groupBy(group_col, "i").agg(F.sum("v").alias("v"))
-                  .groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m")))
-        rhs = (parts.select(group_col, "n", F.posexplode("xty").alias("i", "v"))
-               .groupBy(group_col, "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-               .groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("r"),
-                                       F.max("n").alias("n")))
-        rows = merged.join(rhs, group_col).collect()   # one small row per group
-        betas = {}
-        recs = []
-        for r in rows:
-            k = len(r["r"])
-            A = np.array([e["v"] for e in r["m"]]).reshape(k, k)
-            bvec = np.array([e["v"] for e in r["r"]])
-            beta = np.linalg.lstsq(A, bvec, rcond=None)[0]
-            betas[r[group_col]] = beta.tolist()
-            recs.append((r[group_col], int(r["n"]), beta[:-1].tolist(), float(beta[-1])))
-        out = recs
-    schema = T.StructType([df.schema[group_col], T.StructField("n", T.LongType()),
-                           T.StructField("coef", T.ArrayType(T.DoubleType())),
-                           T.StructField("intercept", T.DoubleType())])
-    return spark.createDataFrame(out, schema)
+        w0 = F.col(weight_col).cast("double")
+        if betas is None:
+            x = data.withColumn("__w", w0)
+        else:
+            r = F.abs(F.col("__pred") - F.col(label_col).cast("double"))
+            irls = F.when(r < 1.0, F.lit(1.0)).otherwise(1.0 / F.greatest(r, F.lit(1e-12)))
+            x = predict_per_group(data, betas, group_col, feat_col, "__pred", materialized=True).withColumn("__w", w0 * irls)
+        parts = _partial_normal_equations(x, group_col, feat_col, label_col, "__w")
+        summed = (parts.select(group_col, F.posexplode("__m").alias("__i", "__v"))
+                  .groupBy(group_col, "__i").agg(F.sum("__v").alias("__v"))
+                  .groupBy(group_col)
+                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda e: e["__v"])
+                       .alias("__m")))
+        betas = materialize(summed.mapInPandas(solve, schema))
+    return betas
+
+
+def predict_per_group(df: DataFrame, fits: DataFrame, group_col: str, feat_col: str = "features",
+                      out: str = "prediction", materialized: bool = False) -> DataFrame:
+    """Apply per-group linear fits (``group_col, coef, intercept``) as a
+    column expression. The fit table has one row per group; it is
+    checkpointed and broadcast under a row bound, else shuffle-joined.
+    Rows of groups without a fit are dropped (inner join)."""
+    f = bounded_broadcast(fits.select(group_col, F.col("coef").alias("__coef"),
+                                      F.col("intercept").alias("__icpt")), materialized=materialized)
+    dot = F.aggregate(F.zip_with(F.col(feat_col), F.col("__coef"), lambda a, b: a.cast("double") * b),
+                      F.lit(0.0), lambda acc, v: acc + v)
+    return df.join(f, group_col, "inner").withColumn(out, dot + F.col("__icpt")).drop("__coef", "__icpt")

@@ -484,6 +484,16 @@ def q_m7_robust_fit(spark, d):
     return pred.agg(*evaluation.regression_metrics("prediction", "label"))
 
 
+def q_m7_robust_fit_per_group(spark, d):
+    v = _vectors(spark, d)
+    x = v.select("has_images", scoring.fuse(F.col("image_vec"), F.col("text_vec")).alias("features"),
+                 (1 + F.col("label").cast("double") * 2 / 5).alias("label"), F.lit(1.0).alias("weight"))
+    fits = scoring.fit_per_group(x, "has_images", iters=6)
+    pred = scoring.predict_per_group(x, fits, "has_images")
+    return pred.groupBy("has_images").agg(F.count(F.lit(1)).alias("n"),
+                                          *evaluation.regression_metrics("prediction", "label"))
+
+
 # --- V: evaluation ------------------------------------------------------------------------------------
 
 def q_v1_smooth_l1(spark, d):
@@ -713,6 +723,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "M5_submission": q_m5_submission,
     "M6_summary": q_m6_summary,
     "M7_robust_fit": q_m7_robust_fit,
+    "M7_robust_fit_per_group": q_m7_robust_fit_per_group,
     "V1_smooth_l1": q_v1_smooth_l1,
     "V2_loss_mae_rmse": q_v2_loss_mae_rmse,
     "V3_pearson": q_v3_pearson,
