@@ -4,10 +4,11 @@ aggregation (partial aggregation, no collect of predictions)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.metrics import smooth_l1
+from kiln.operators.scans import running_agg
 
 
 def pearson(x="prediction", y="label") -> Column:
@@ -69,15 +70,18 @@ def epoch_history(preds: DataFrame, lr: DataFrame | None = None) -> DataFrame:
 
 def best_and_stop(history: DataFrame, metric: str = "val_plcc", patience: int = 1) -> DataFrame:
     """V8 + V9 per run: an epoch improves when its metric is strictly above
-    every earlier epoch's; training stops at the first epoch that is
-    ``patience`` or more epochs past the last improvement. Reports the stop
-    epoch (null when never reached) and the best epoch and value up to it."""
-    w_prev = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    w_cum = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    every earlier epoch's (a NaN epoch never improves and never becomes the
+    best); training stops at the first epoch that is ``patience`` or more
+    epochs past the last improvement. Reports the stop epoch (null when
+    never reached) and the best epoch and value up to it.
+
+    The two running maxima (best so far, last improving epoch) are blocked
+    scans (``scans.running_agg``), so a run with very many epochs is not
+    sorted in one task; everything after them is aggregation."""
     m = F.col(metric)
-    prev_max = F.max(m).over(w_prev)
-    h = history.withColumn("__improved", ~F.isnan(m) & (prev_max.isNull() | (m > prev_max)))
-    h = h.withColumn("__last_imp", F.max(F.when(F.col("__improved"), F.col("epoch"))).over(w_cum))
+    h = running_agg(history, ["run_id"], "epoch", F.when(~F.isnan(m), m), "max", "__prev_max", inclusive=False)
+    h = h.withColumn("__improved", ~F.isnan(m) & (F.col("__prev_max").isNull() | (m > F.col("__prev_max"))))
+    h = running_agg(h, ["run_id"], "epoch", F.when(F.col("__improved"), F.col("epoch")), "max", "__last_imp")
     h = h.withColumn("__since", F.col("epoch") - F.coalesce(F.col("__last_imp"), F.lit(0)))
     stop = (h.groupBy("run_id")
             .agg(F.min(F.when(F.col("__since") >= patience, F.col("epoch"))).alias("stop_epoch")))

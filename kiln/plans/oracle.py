@@ -192,7 +192,7 @@ def eff(C: str) -> str:
 
 
 def best_stop(patience: int) -> str:
-    return with_views("history", extra=f"""h1 as (select *, max(val_plcc) over (partition by run_id order by epoch
+    return with_views("history", extra=f"""h1 as (select *, max(case when not isnan(val_plcc) then val_plcc end) over (partition by run_id order by epoch
       rows between unbounded preceding and 1 preceding) as pm from history),
 h2 as (select *, not isnan(val_plcc) and (pm is null or val_plcc > pm) as imp from h1),
 h3 as (select *, epoch - coalesce(max(case when imp then epoch end) over (partition by run_id order by epoch

@@ -8,6 +8,7 @@ oracle see identical rows. The templates are the views of FIXTURES.md.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -93,8 +94,50 @@ def render(view: str, dialect: str, sf_dir: str | None = None) -> str:
     return VIEWS[view].format(**subs).strip()
 
 
+def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events numbered 1.. per user in (ts, event_id) order -- the
+    ``row_number()`` of the SQL views, computed without sending a hot user's
+    events to one task."""
+    from kiln.operators.scans import group_row_number
+    return group_row_number(table(spark, "events", sf_dir), ["user_id"], ["ts", "event_id"], "__rn")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _numbered_events(spark, sf_dir)
+    return e.select(F.col("user_id").alias("run_id"), F.col("__rn").cast("int").alias("epoch"), F.col("value").alias("val_plcc"))
+
+
+def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.operators.scans import running_agg
+    e = (_numbered_events(spark, sf_dir)
+         .select(F.col("user_id").alias("run_id"), (F.col("__rn") - 1).cast("int").alias("batch_idx"), "event_id",
+                 F.round(F.col("value") * 1000).cast("long").alias("dur")))
+    t = running_agg(e, ["run_id"], "batch_idx", F.col("dur"), "sum", "__cum")
+    gap = F.lit(1000) * F.col("batch_idx")
+    return t.select(
+        "run_id", "batch_idx",
+        F.when(F.col("run_id") % 2 == 0, F.lit("cuda:0")).otherwise(F.lit("cpu")).alias("device"),
+        (F.col("__cum") - F.col("dur") + gap).alias("start_us"), (F.col("__cum") + gap).alias("end_us"),
+        (1 + F.col("event_id") % 32).alias("batch_size"),
+        F.when(F.col("run_id") == 7, F.lit(0)).otherwise(10 * (1 + F.col("event_id") % 32)).cast("long").alias("tokens"),
+        (F.lit(1048576) * (1 + F.col("event_id") % 512)).alias("alloc_bytes"),
+        (F.lit(1048576) * (600 + F.col("event_id") % 64)).alias("reserved_bytes"))
+
+
+# Views whose SQL numbers or accumulates rows per run with a window; Spark
+# builds them with the skew-safe scans (same rows, checked in tests).
+_BUILDERS = {"history": _history, "timings": _timings}
+
+
 def view(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """The fixture view as a Spark DataFrame over ``sf_dir``."""
+    if name in _BUILDERS:
+        return _BUILDERS[name](spark, sf_dir)
+    return spark.sql(render(name, "spark", sf_dir))
+
+
+def sql_view(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    """The view exactly as its SQL template (plain windows), for tests."""
     return spark.sql(render(name, "spark", sf_dir))
 
 
