@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.session import ensure_checkpoint_dir
+from kiln.session import ensure_checkpoint_dir, scratch_path
 
 # Row bound under which a materialised side table is broadcast.
 BROADCAST_MAX_ROWS = 1_000_000
@@ -26,3 +26,16 @@ def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     if not materialized:
         small = materialize(small)
     return F.broadcast(small) if small.count() <= max_rows else small
+
+
+def stage_parquet(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back. Operators that pass over their input several times (a
+    counting pass, then the selection) use it so that expensive upstream
+    work -- normalisation, regex filters -- runs once, and later passes read
+    only the columns they need (parquet column pruning). The files live in
+    the cluster's shared folder, so a lost executor re-reads them."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"stage-{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -28,7 +28,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import BROADCAST_MAX_ROWS, bounded_broadcast, materialize
+from kiln.operators.joins import bounded_broadcast, materialize
 
 HASH = "__h"
 BUCKET = "__b"
@@ -67,9 +67,6 @@ def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable
     """
     if hist is None:
         hist = materialize(group_histogram(df, groups))
-    # The boundary table has at most one row per group of the histogram, so
-    # the histogram's row count (a read of the small checkpoint) bounds it.
-    hist_rows = hist.count()
     if callable(quotas):
         quotas = quotas(hist.groupBy(*groups).agg(F.sum("__n").alias("__c")))
     w = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
@@ -85,7 +82,9 @@ def cut_positions(df: DataFrame, groups: list[str], quotas: DataFrame | Callable
     # Groups whose cuts are all zero have no boundary; give them one row so
     # the classification below sees their quotas.
     bounds = quotas.select(*groups).join(bounds, groups, "left")
-    bounds = F.broadcast(bounds) if hist_rows <= BROADCAST_MAX_ROWS else bounded_broadcast(bounds)
+    # Checkpointed once, so the window over the histogram runs once however
+    # many branches read the bounds; broadcast only under the row bound.
+    bounds = bounded_broadcast(bounds)
 
     x = df.withColumn(BUCKET, bucket_of(F.col(HASH))).join(bounds, groups, "left")
     # Slot from bucket comparison, valid when the row is in no boundary bucket.

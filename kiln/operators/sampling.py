@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.operators.joins import stage_parquet
 from kiln.operators.ranking import HASH, cut_positions, seeded_hash
 
 
@@ -15,12 +16,20 @@ def sample_target(n, frac: float, min_samples: int):
 
 
 def sample_per_group(df: DataFrame, group: str = "category", id_col: str = "item_id",
-                     frac: float | None = 0.2, min_samples: int = 10000, seed: int = 42) -> DataFrame:
+                     frac: float | None = 0.2, min_samples: int = 10000, seed: int = 42,
+                     stage: bool = True) -> DataFrame:
     """Keep ``min(n, max(int(n*frac), min_samples))`` rows of each group: the
     rows first in ``md5('<seed>:<id>'), id`` order. Same rows for the same
-    seed under any partitioning. ``frac=None`` keeps everything."""
+    seed under any partitioning. ``frac=None`` keeps everything.
+
+    The selection passes over the input twice (histogram, then selection);
+    with ``stage`` the input is written once as parquet in the shared
+    checkpoint folder, so its upstream work runs once and the histogram
+    pass reads two columns."""
     if frac is None:
         return df
+    if stage:
+        df = stage_parquet(df, "sample-input")
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
 
     def quotas(counts):

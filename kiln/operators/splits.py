@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import bounded_broadcast, materialize
+from kiln.operators.joins import bounded_broadcast, materialize, stage_parquet
 from kiln.operators.ranking import BUCKET, HASH, cut_positions, group_histogram, seeded_hash
 
 STRATUM = "strat_label"
@@ -79,7 +79,11 @@ def split_quotas(strata_counts: DataFrame, label: str = STRATUM, test_size: floa
         F.lit("The least populated stratum of the held-out part has only 1 member.")))
     t = t.withColumn("__n_val", F.col("__t") - F.ceil(F.col("__t") * F.lit(float(second_test_size))).cast("long"))
     t = _largest_remainder(t, "__t", "__n_val", label, "q_val")
-    return t.select(label, "q_train", "q_val", F.col("__chk").alias("__chk"), F.col("__chk2").alias("__chk2"))
+    # assert_true yields null when it holds; folding it into the quotas keeps
+    # the checks in every plan that reads them (a separate column could be
+    # pruned away).
+    return t.select(label, F.coalesce(F.col("__chk").cast("long"), F.col("q_train")).alias("q_train"),
+                    F.coalesce(F.col("__chk2").cast("long"), F.col("q_val")).alias("q_val"))
 
 
 def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id", seed: int = 42,
@@ -88,7 +92,7 @@ def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
 
     def quotas(counts):
-        q = materialize(split_quotas(counts, label, test_size))
+        q = split_quotas(counts, label, test_size)
         return q.select(label, F.col("q_train").alias("__q1"), (F.col("q_train") + F.col("q_val")).alias("__q2"))
     ranked = cut_positions(h, [label], quotas, ["__q1", "__q2"], id_col)
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")),
@@ -98,22 +102,27 @@ def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id
 
 def rare_stratified_split(df: DataFrame, value_col: str = "average_rating", threshold: int = 50,
                           id_col: str = "item_id", seed: int = 42, test_size: float = 0.2,
-                          label: str = STRATUM) -> DataFrame:
+                          label: str = STRATUM, stage: bool = True) -> DataFrame:
     """P2 + P3 + P4 with one pass for counting: a histogram per (value,
     hash bucket) gives the value counts (for the rare merge) and, re-keyed
     through the small value -> stratum map, the per-stratum histogram the
-    cut positions need. Same result as ``stratified_split(rare_strata(..))``."""
+    cut positions need. Same result as ``stratified_split(rare_strata(..))``.
+    With ``stage`` the input is written once as parquet (see
+    ``sample_per_group``), so the counting pass reads two columns."""
+    if stage:
+        df = stage_parquet(df, "split-input")
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
     vhist = materialize(group_histogram(h, [value_col]))
     counts = vhist.groupBy(value_col).agg(F.sum("__n").alias("__vc"))
     mapping = bounded_broadcast(_strata_map(counts, value_col, threshold, label))
     m = mapping.withColumnRenamed(value_col, "__v")
-    shist = materialize(vhist.join(m, vhist[value_col].eqNullSafe(m["__v"]), "inner")
-                        .groupBy(label, BUCKET).agg(F.sum("__n").alias("__n")))
+    # Re-keyed from the checkpointed value histogram (small), so no new pass.
+    shist = (vhist.join(m, vhist[value_col].eqNullSafe(m["__v"]), "inner")
+             .groupBy(label, BUCKET).agg(F.sum("__n").alias("__n")))
     rows = _attach_strata(h, mapping, value_col)
 
     def quotas(c):
-        q = materialize(split_quotas(c, label, test_size))
+        q = split_quotas(c, label, test_size)
         return q.select(label, F.col("q_train").alias("__q1"), (F.col("q_train") + F.col("q_val")).alias("__q2"))
     ranked = cut_positions(rows, [label], quotas, ["__q1", "__q2"], id_col, hist=shist)
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("__rank_slot") + 1)
