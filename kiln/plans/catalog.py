@@ -381,6 +381,37 @@ def q_i5_has_images(spark, d):
     return _attached(spark, d).select("item_id", images.has_images_value().alias("has_images"))
 
 
+def _vector_images(spark, d):
+    """Spark image structs derived from ``embeddings``: pixel bytes are the
+    vector values scaled to 0..255 (cycled to fill the raster); layouts
+    rotate through grey, BGR and BGRA; some rasters are under 10 px and some
+    rows have no image, so every I6/I7 branch runs."""
+    e = table(spark, "embeddings", d)
+    ch = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("label") % 3 + 1).cast("int"))
+    h = (10 + F.col("vec_id") % 7).cast("int")
+    w = F.when(F.col("vec_id") % 13 == 0, F.lit(9)).otherwise(12 + F.col("vec_id") % 5).cast("int")
+    byte = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1.0) * 127.5))).cast("int")
+    hex64 = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), "")
+    n = h * w * ch
+    data = F.unhex(F.substring(F.repeat(hex64, (F.floor((n - 1) / 64) + 1).cast("int")), 1, 2 * n))
+    img = F.struct(F.concat(F.lit("vec/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("origin"),
+                   h.alias("height"), w.alias("width"), ch.alias("nChannels"),
+                   F.element_at(F.array(F.lit(0), F.lit(16), F.lit(24)), (F.col("label") % 3 + 1).cast("int")).alias("mode"),
+                   data.alias("data"))
+    return e.select("vec_id", F.when(F.col("vec_id") % 11 != 0, img).alias("image"))
+
+
+def q_i6_i7_rasters(spark, d):
+    """Raster size plus probe values (top-left, centre, bottom-right pixel
+    of each channel) of every image tensor."""
+    t = images.image_tensors(_vector_images(spark, d), "image", 224, "vec_id")
+    plane = 224 * 224
+    probes = {"tl": 0, "c": 111 * 224 + 111, "br": plane - 1}
+    return t.select("vec_id", F.size("pixel_values").cast("long").alias("n_values"),
+                    *[r6(F.element_at("pixel_values", k * plane + off + 1).cast("double")).alias(f"{c}_{name}")
+                      for k, c in enumerate("rgb") for name, off in probes.items()])
+
+
 # --- W: weights -------------------------------------------------------------------------------
 
 def q_w1_mean_log_count(spark, d):
@@ -709,6 +740,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "I3_attach": q_i3_attach,
     "I4_valid_size": q_i4_valid_size,
     "I5_has_images": q_i5_has_images,
+    "I6_I7_rasters": q_i6_i7_rasters,
     "W1_mean_log_count": q_w1_mean_log_count,
     "W2_weights": q_w2_weights,
     "W3_label_defaults": q_w3_label_defaults,

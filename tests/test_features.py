@@ -11,6 +11,8 @@ from kiln.config import END_ID, PAD_ID, START_ID, UNK_ID
 from kiln.operators import images, text_features, weights
 from kiln.sources.images import join_images, read_image_dir
 
+from .conftest import SF001
+
 
 def docs(spark):
     rows = [(1, "The cat sat. The cat ran!"), (2, "A dog, the dog."), (3, ""), (4, "zebra " * 300)]
@@ -123,3 +125,29 @@ def test_attach_images(spark):
     assert k1.count() == 3
     k2 = images.attach_images(rows.withColumn("candidates", images.candidate_urls(k=2)), table)
     assert {r.item_id: r.images for r in k2.collect()}[1] == ["b"]
+
+
+def test_raster_query_matches_numpy(spark):
+    """I6 + I7 query over images derived from ``embeddings``: every layout
+    (grey, BGR, BGRA, too small, missing) equals the NumPy pipeline."""
+    from kiln.plans import catalog as C
+    import __spark_entry__ as E
+    rows = E.queries()["I6_I7_rasters"](spark, SF001).collect()
+    imgs = {r.vec_id: r.image for r in C._vector_images(spark, SF001).collect()}
+    emb = {r.vec_id: r.embedding for r in C.table(spark, "embeddings", SF001).collect()}
+    assert len(rows) == len(emb)
+    assert {(i.nChannels if i else None) for i in imgs.values()} == {None, 1, 3, 4}
+    plane = 224 * 224
+    for r in rows:
+        img = imgs[r.vec_id]
+        if img is None or img.width < 10 or img.height < 10:
+            x = images.raster(None, 224)
+        else:
+            b = np.clip(np.floor((np.array(emb[r.vec_id], dtype=np.float32).astype(np.float64) + 1.0) * 127.5),
+                        0, 255).astype(np.uint8)
+            raw = b[np.arange(img.height * img.width * img.nChannels) % 64]
+            assert bytes(raw) == bytes(img.data)
+            x = images.raster(images._to_rgb(raw.reshape(img.height, img.width, img.nChannels), img.nChannels), 224)
+        want = [float(x[k * plane + off]) for k in range(3) for off in (0, 111 * 224 + 111, plane - 1)]
+        got = [r[f"{c}_{nm}"] for c in "rgb" for nm in ("tl", "c", "br")]
+        assert r.n_values == 3 * plane and np.allclose(want, got, atol=1e-6)
