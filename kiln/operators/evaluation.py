@@ -75,20 +75,25 @@ def best_and_stop(history: DataFrame, metric: str = "val_plcc", patience: int =
     epochs past the last improvement. Reports the stop epoch (null when
     never reached) and the best epoch and value up to it.
 
-    The two running maxima (best so far, last improving epoch) are blocked
+    Two running maxima (best value so far, last improving epoch) are blocked
     scans (``scans.running_agg``), so a run with very many epochs is not
-    sorted in one task; everything after them is aggregation."""
+    sorted in one task. The best epoch up to the stop is the running "last
+    improving epoch" at the stop row (or at the last row when the run never
+    stops), and its value is the running best there, so one grouped
+    aggregation finishes the job -- no join back to the epochs."""
     m = F.col(metric)
-    h = running_agg(history, ["run_id"], "epoch", F.when(~F.isnan(m), m), "max", "__prev_max", inclusive=False)
-    h = h.withColumn("__improved", ~F.isnan(m) & (F.col("__prev_max").isNull() | (m > F.col("__prev_max"))))
+    valid = F.when(~F.isnan(m), m)
+    h = running_agg(history, ["run_id"], "epoch", valid, "max", "__prev_max", inclusive=False)
+    h = (h.withColumn("__improved", valid.isNotNull() & (F.col("__prev_max").isNull() | (m > F.col("__prev_max"))))
+         .withColumn("__best", F.greatest(F.col("__prev_max"), valid)))
     h = running_agg(h, ["run_id"], "epoch", F.when(F.col("__improved"), F.col("epoch")), "max", "__last_imp")
-    h = h.withColumn("__since", F.col("epoch") - F.coalesce(F.col("__last_imp"), F.lit(0)))
-    stop = (h.groupBy("run_id")
-            .agg(F.min(F.when(F.col("__since") >= patience, F.col("epoch"))).alias("stop_epoch")))
-    h = h.join(stop, "run_id")
-    upto = h.filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
-    best = (upto.filter("__improved").groupBy("run_id", "stop_epoch")
-            .agg(F.max_by(F.struct(F.col("epoch"), m), F.col("epoch")).alias("b")))
-    return (stop.join(best.drop("stop_epoch"), "run_id", "left")
-            .select("run_id", F.col("b.epoch").alias("best_epoch"), F.col(f"b.{metric}").alias(f"best_{metric}"),
-                    "stop_epoch"))
+    since = F.col("epoch") - F.coalesce(F.col("__last_imp"), F.lit(0))
+    state = F.struct(F.col("epoch").alias("e"), F.col("__last_imp").alias("b"), F.col("__best").alias("v"))
+    g = h.groupBy("run_id").agg(
+        F.min_by(state, F.when(since >= patience, F.col("epoch"))).alias("__stop"),
+        F.max_by(state, F.col("epoch")).alias("__last"))
+    at = F.coalesce(F.col("__stop"), F.col("__last"))
+    best_epoch = at["b"]
+    return g.select("run_id", best_epoch.alias("best_epoch"),
+                    F.when(best_epoch.isNotNull(), at["v"]).alias(f"best_{metric}"),
+                    F.col("__stop")["e"].alias("stop_epoch"))
