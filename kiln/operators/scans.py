@@ -9,7 +9,7 @@ The two operators here split such a group:
   bounds cut a hot group into many partitions -- sort inside partitions and
   checkpoint, so positions are fixed. A per-(partition, group) count table
   (at most partitions + groups rows) gives each piece's offset through a
-  window over that small table; AQE broadcasts it when it is small.
+  window over that small table, broadcast under a checked row bound.
 * ``running_agg``: a running max or sum over an integer order key, as a
   blocked scan: a partial aggregate per (g, block) of ``block`` consecutive
   keys, a window over the small block table for everything before a block,
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import materialize
+from kiln.operators.joins import bounded_broadcast, materialize
 
 _POS_BITS = 33
 BLOCK = 4096
@@ -42,10 +42,12 @@ def group_row_number(df: DataFrame, group_cols, order_cols, out: str = "rn",
     pieces = (s.groupBy(pid.alias("__pid"), *group_cols)
               .agg(F.count(F.lit(1)).alias("__cnt"), F.min("__mid").alias("__first")))
     w = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
-    # The piece table has at most partitions + groups rows; AQE measures it
-    # at run time and broadcasts it when it is under the broadcast threshold,
-    # else shuffle-joins on (partition, group), which spreads a hot group.
+    # The piece table has at most partitions + groups rows. It is counted
+    # and broadcast under the row bound: planned statically, so the big side
+    # is never shuffled; beyond the bound the join shuffles on (partition,
+    # group), which still spreads a hot group.
+    offsets = bounded_broadcast(pieces.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+                                .drop("__cnt"))
     j = s.withColumn("__pid", pid).join(offsets, ["__pid", *group_cols], "inner")
     return (j.withColumn(out, (F.col("__off") + F.col("__mid") - F.col("__first") + 1).cast("long"))
             .drop("__pid", "__off", "__first", "__mid"))
