@@ -19,8 +19,9 @@ from kiln.operators.indexing import with_row_index
 
 def training_table(cleaned: DataFrame, image_table: DataFrame | None = None,
                    split_cfg: SplitConfig = SplitConfig(), train_cfg: TrainConfig = TrainConfig()) -> DataFrame:
+    # ``cleaned`` is the parquet stage table, so the split need not stage it again.
     s = splits.rare_stratified_split(cleaned, "average_rating", split_cfg.rare_threshold,
-                                     seed=split_cfg.seed, test_size=split_cfg.test_size)
+                                     seed=split_cfg.seed, test_size=split_cfg.test_size, stage=False)
     s = weights.add_weights(s, weights.mean_log_count(s))
     s = text_features.add_text(s, with_details=False, out="question")
     s = s.withColumn("candidates", images.candidate_urls(k=train_cfg.num_images_per_sample))
