@@ -50,9 +50,17 @@ def start(prepared: DataFrame, out_path: str, name: str = "prepare", available_n
     return w.start(out_path)
 
 
-def start_counts(counts: DataFrame, table_name: str, name: str = "category-counts") -> StreamingQuery:
-    """Keep the running counts in a memory table (``complete`` mode)."""
+def start_counts(counts: DataFrame, out_path: str, name: str = "category-counts") -> StreamingQuery:
+    """Keep the running counts as a parquet table at ``out_path``: in
+    ``complete`` mode every micro-batch carries the whole (small, one row per
+    category) result, which replaces the table. Re-running a batch after a
+    failure writes the same table again, so the effect is exactly once; the
+    state and the table live in shared storage, not in the driver."""
     spark = counts.sparkSession
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    return (counts.writeStream.format("memory").queryName(table_name).outputMode("complete")
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    return (counts.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

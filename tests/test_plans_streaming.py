@@ -63,9 +63,11 @@ def test_streaming_prepare(spark, tmpdir_path):
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == 60 and got.filter(F.col("text").contains("Title: Title number")).count() == 60
-    c = prepare_stream.start_counts(prepare_stream.category_counts(stream), "cat_counts", name=f"c{id(out)}")
+    counts_path = os.path.join(tmpdir_path, "counts")
+    c = prepare_stream.start_counts(prepare_stream.category_counts(stream), counts_path, name=f"c{id(out)}")
     c.awaitTermination(120)
-    assert {r.category: r["count"] for r in spark.table("cat_counts").collect()} == {"Books": 20, "Software": 20, "Toys": 20}
+    got = {r.category: r["count"] for r in spark.read.parquet(counts_path).collect()}
+    assert got == {"Books": 20, "Software": 20, "Toys": 20}
 
 
 def test_inference_and_runtime(spark, tmpdir_path):
