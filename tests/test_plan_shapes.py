@@ -56,3 +56,31 @@ def test_sql_functions_match_columns(spark):
                                "description string, details string")
     assert df.select(F.expr("kiln_product_text(main_category, title, features, description, details)")).first()[0] == \
         df.select(product_text()).first()[0]
+
+
+@pytest.mark.parametrize("name", ["W2_weights", "A1_category_counts", "A2_rating_counts"])
+def test_scalars_are_subqueries_not_cross_joins(spark, name):
+    p = plan(E.queries()[name](spark, SF001))
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_staged_sampling_and_split_match_unstaged(spark):
+    from kiln.operators import sampling, splits
+    from kiln.plans import catalog as C
+    k = C.normalize.relabel_category(C.kept(spark, SF001))
+    a = sampling.sample_per_group(k, "category", "item_id", 0.2, 12, 42, stage=True).select("item_id")
+    b = sampling.sample_per_group(k, "category", "item_id", 0.2, 12, 42, stage=False).select("item_id")
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    kept = C.kept(spark, SF001)
+    s1 = splits.rare_stratified_split(kept, "average_rating", 24, seed=42, stage=True).select("item_id", "split")
+    s2 = splits.rare_stratified_split(kept, "average_rating", 24, seed=42, stage=False).select("item_id", "split")
+    assert s1.count() == s2.count() == kept.count() and s1.exceptAll(s2).count() == 0
+
+
+def test_staged_selection_reads_only_needed_columns(spark):
+    p = plan(E.queries()["P1_sample"](spark, SF001))
+    staged = [line for line in p.splitlines() if "stage-sample-input" in line and "FileScan parquet" in line]
+    assert staged, p
+    for line in staged:
+        cols = line.split("FileScan parquet [", 1)[1].split("]", 1)[0]
+        assert "description" not in cols and "details" not in cols, line
