@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kiln.session import ensure_checkpoint_dir, scratch_path
 
-# Row bound under which a materialised side table is broadcast.
+# Bounds under which a materialised side table is broadcast: rows, and bytes
+# as measured by the table's JSON text (an over-estimate of its binary size).
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -19,13 +21,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      materialized: bool = False) -> DataFrame:
-    """Return ``broadcast(small)`` when its row count is within ``max_rows``,
-    else ``small`` unchanged so the join shuffles. ``small`` is checkpointed
-    first, so counting it does not recompute its input."""
+                      materialized: bool = False, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Return ``broadcast(small)`` when its row count is within ``max_rows``
+    and its size within ``max_bytes``, else ``small`` unchanged so the join
+    shuffles. ``small`` is checkpointed first, so measuring it (one
+    aggregation: row count and JSON byte length) does not recompute its
+    input; wide rows (arrays) are caught by the byte bound."""
     if not materialized:
         small = materialize(small)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    row = small.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))),
+                               F.lit(0)).alias("b")).first()
+    return F.broadcast(small) if row["n"] <= max_rows and row["b"] <= max_bytes else small
 
 
 def stage_parquet(df: DataFrame, name: str) -> DataFrame:

@@ -67,3 +67,23 @@ def test_best_stop_has_no_run_window(spark):
     for line in p.splitlines():
         if "Window [" in line and "run_id" in line:
             assert "__blk" in line or "__pid" in line or "user_id" in line, line
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from kiln.operators.joins import bounded_broadcast
+    small = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 1000).alias("v"))
+    big = spark.range(1000)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def joined(**kw):
+            df = big.join(bounded_broadcast(small, **kw), "id")
+            return df._jdf.queryExecution().executedPlan().toString(), df.count()
+        p, n = joined(max_bytes=10 ** 9)
+        assert "BroadcastHashJoin" in p and n == 10
+        p, n = joined(max_bytes=1000)          # ~40 KB of JSON: too wide
+        assert "BroadcastHashJoin" not in p and n == 10
+        p, n = joined(max_rows=5)              # too many rows
+        assert "BroadcastHashJoin" not in p and n == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
