@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kiln.config import END_ID, PAD_ID, START_ID, UNK_ID, VOCAB_CAP
 from kiln.functions.text import product_text
 from kiln.operators.indexing import with_row_index
+from kiln.operators.joins import materialize
 from kiln.operators.partitioning import spread
 
 # Word, number, or single other non-space character, on lower-cased text.
@@ -35,11 +36,22 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 2,
     """Corpus vocabulary: tokens seen at least ``min_count`` times, most
     frequent first (ties by token), cut to ``cap`` ids including the four
     reserved ones. Counting is a partial aggregate (hot tokens combine
-    map-side); the cut is a top-k, so the result is bounded by ``cap``."""
-    counts = (spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-              .filter(F.col("cnt") >= min_count))
-    top = counts.orderBy(F.desc("cnt"), "token").limit(cap - 4)
+    map-side) and is checkpointed once; the cut is a top-k behind an exact
+    count threshold, so the result is bounded by ``cap``."""
+    k = cap - 4
+    counts = materialize(spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+                         .filter(F.col("cnt") >= min_count))
+    # Exact cut count: the count of the k-th most frequent token, from the
+    # count-of-counts table (one row per distinct count value, small). Only
+    # tokens at or above it reach the top-k, so its final task sees about k
+    # rows plus ties instead of k rows from every partition.
+    per_count = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("m"))
+    wc = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (per_count.withColumn("__cum", F.sum("m").over(wc)).filter(F.col("__cum") >= k)
+           .agg(F.max("cnt")).scalar())
+    kept = counts.filter(F.col("cnt") >= F.coalesce(cut, F.lit(min_count)))
+    top = kept.orderBy(F.desc("cnt"), "token").limit(k)
     w = Window.orderBy(F.desc("cnt"), "token")
     return top.select("token", "cnt", (F.row_number().over(w) + 3).cast("int").alias("token_id"))
 
