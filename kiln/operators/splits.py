@@ -114,7 +114,9 @@ def rare_stratified_split(df: DataFrame, value_col: str = "average_rating", thre
     h = df.withColumn(HASH, seeded_hash(seed, id_col))
     vhist = materialize(group_histogram(h, [value_col]))
     counts = vhist.groupBy(value_col).agg(F.sum("__n").alias("__vc"))
-    mapping = bounded_broadcast(_strata_map(counts, value_col, threshold, label))
+    # A small aggregation of the checkpointed histogram: measured, not
+    # checkpointed again.
+    mapping = bounded_broadcast(_strata_map(counts, value_col, threshold, label), materialized=True)
     m = mapping.withColumnRenamed(value_col, "__v")
     # Re-keyed from the checkpointed value histogram (small), so no new pass.
     shist = (vhist.join(m, vhist[value_col].eqNullSafe(m["__v"]), "inner")
