@@ -46,9 +46,12 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
               "map('allowSingleQuotes', 'false'))), e -> " + _strip("replace(concat(e.key, ': ', e.value), ';', ' ')")
               + "), ' | ')")
     maybe_obj = "startswith(trim(LEADING ' \\t\\n\\r' FROM coalesce(d, '')), '{')"
+    # Spark evaluates a Python UDF for every row, whatever CASE branch it
+    # sits in; rows the native path handles pass it a null (no parse).
+    needs_py = (f"{maybe_obj} AND ({shape} IS NULL OR (startswith({shape}, 'OBJECT<') AND NOT {simple}))")
     details = (f"CASE WHEN coalesce(d, '') = '' THEN '' WHEN NOT {maybe_obj} THEN d WHEN {simple} THEN {native} "
                f"WHEN {shape} IS NOT NULL AND NOT startswith({shape}, 'OBJECT<') THEN d "
-               f"ELSE kiln_details_py(d) END")
+               f"ELSE kiln_details_py(CASE WHEN {needs_py} THEN d END) END")
     defs = {
         "kiln_strip": f"(s STRING) RETURNS STRING RETURN {_strip('s')}",
         "kiln_scrub": f"(s STRING) RETURNS STRING RETURN {scrub}",
