@@ -75,20 +75,20 @@ def best_and_stop(history: DataFrame, metric: str = "val_plcc", patience: int =
     epochs past the last improvement. Reports the stop epoch (null when
     never reached) and the best epoch and value up to it.
 
-    Two running maxima (best value so far, last improving epoch) are blocked
-    scans (``scans.running_agg``), so a run with very many epochs is not
-    sorted in one task. The best epoch up to the stop is the running "last
-    improving epoch" at the stop row (or at the last row when the run never
-    stops), and its value is the running best there, so one grouped
-    aggregation finishes the job -- no join back to the epochs."""
+    Improvements are strict, so the last improving epoch up to epoch ``e`` is
+    the earliest epoch that reached the running best. One running maximum of
+    ``(metric, -epoch)`` therefore gives both the best value and the last
+    improvement. It is a blocked scan (``scans.running_agg``), so a run with
+    very many epochs is not sorted in one task. One grouped aggregation then
+    reads the scan state at the stop epoch, or at the last epoch when the run
+    never stops; there is no join back to the epochs."""
     m = F.col(metric)
     valid = F.when(~F.isnan(m), m)
-    h = running_agg(history, ["run_id"], "epoch", valid, "max", "__prev_max", inclusive=False)
-    h = (h.withColumn("__improved", valid.isNotNull() & (F.col("__prev_max").isNull() | (m > F.col("__prev_max"))))
-         .withColumn("__best", F.greatest(F.col("__prev_max"), valid)))
-    h = running_agg(h, ["run_id"], "epoch", F.when(F.col("__improved"), F.col("epoch")), "max", "__last_imp")
-    since = F.col("epoch") - F.coalesce(F.col("__last_imp"), F.lit(0))
-    state = F.struct(F.col("epoch").alias("e"), F.col("__last_imp").alias("b"), F.col("__best").alias("v"))
+    key = F.when(valid.isNotNull(), F.struct(valid.alias("v"), (-F.col("epoch")).alias("ne")))
+    h = running_agg(history, ["run_id"], "epoch", key, "max", "__run")
+    last_imp = -F.col("__run.ne")
+    since = F.col("epoch") - F.coalesce(last_imp, F.lit(0))
+    state = F.struct(F.col("epoch").alias("e"), last_imp.alias("b"), F.col("__run.v").alias("v"))
     g = h.groupBy("run_id").agg(
         F.min_by(state, F.when(since >= patience, F.col("epoch"))).alias("__stop"),
         F.max_by(state, F.col("epoch")).alias("__last"))

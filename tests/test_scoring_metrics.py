@@ -95,6 +95,25 @@ def test_best_and_stop_matches_loop(spark):
         assert got == {run: want[(run, p)] for run in range(25)}
 
 
+def test_best_and_stop_with_nan_epochs_matches_loop(spark):
+    rng = np.random.default_rng(11)
+    rows, want, best_val = [], {}, {}
+    for run in range(40):
+        vals = [float("nan") if rng.random() < 0.25 else float(np.round(rng.normal(), 1))
+                for _ in range(rng.integers(1, 14))]
+        for e, v in enumerate(vals, 1):
+            rows.append((run, e, v))
+        for p in (1, 2, 3):
+            want[(run, p)] = py_best_stop(vals, p)
+            be = want[(run, p)][0]
+            best_val[(run, p)] = None if be is None else vals[be - 1]
+    h = spark.createDataFrame(rows, "run_id long, epoch int, val_plcc double")
+    for p in (1, 2, 3):
+        got = {r.run_id: r for r in evaluation.best_and_stop(h, patience=p).collect()}
+        assert {k: (r.best_epoch, r.stop_epoch) for k, r in got.items()} == {run: want[(run, p)] for run in range(40)}
+        assert {k: r.best_val_plcc for k, r in got.items()} == {run: best_val[(run, p)] for run in range(40)}
+
+
 def test_cost_goldens(spark):
     r = spark.range(1).select(
         M.transformer_block_flops(128, 384, 4).alias("e2"),
