@@ -84,3 +84,11 @@ def test_staged_selection_reads_only_needed_columns(spark):
     for line in staged:
         cols = line.split("FileScan parquet [", 1)[1].split("]", 1)[0]
         assert "description" not in cols and "details" not in cols, line
+
+
+def test_vocabulary_top_k_sits_behind_count_threshold(spark):
+    p = plan(E.queries()["T4_vocabulary"](spark, SF001))
+    assert "TakeOrderedAndProject" in p
+    below = p[p.index("TakeOrderedAndProject"):].splitlines()[1]
+    # the top-k input is filtered against the scalar cut count
+    assert "Filter" in below and "Subquery" in below and "cnt" in below, below
