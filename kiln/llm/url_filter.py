@@ -88,5 +88,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.min(F.struct((-F.length(rule)).alias("l"), rule.alias("rule"), F.col("listed_verdict").alias("verdict"))).alias("b")),
         "url-hits")
     best = best.select(F.col("host").alias("hit_host"), F.col("path").alias("hit_path"), "b.rule", "b.verdict")
-    return (base.join(best, (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path")) & F.col("has_host"), "left")
+    # The hits grow with the pages: always a shuffle join, never a broadcast.
+    return (base.join(best.hint("merge"), (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path")) & F.col("has_host"), "left")
             .select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")))
