@@ -8,6 +8,7 @@ from kiln.llm import exact_dedup as dedup
 from kiln.llm import language_id as lang
 from kiln.llm import near_dedup as near
 from kiln.llm import quality, toxicity
+from kiln.llm import suffix_dedup as suffix
 from kiln.llm import url_filter as urls
 from kiln.llm.helpers import held_out_of, read
 
@@ -44,11 +45,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, QUALITY_HELD_OUT)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_exact_dedup, op6_toxicity, op8_quality, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_exact_dedup, op6_toxicity, op8_quality, op9_suffix_dedup, op10_near_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
