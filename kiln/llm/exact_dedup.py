@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import ascii_lower, staged
+from kiln.llm.helpers import ascii_lower, bloom_split, staged
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,3 +59,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
                       F.col("dedup_id").eqNullSafe(keep_id).alias("kept"),
                       F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The documents without the copies ``exact_dedup`` drops; all columns
+    stay. Texts whose digest cannot be a repeated one (Bloom filter of bounded
+    size) pass without a shuffle. Rows repeated under the kept id leave one."""
+    rows = staged(digests(docs, id_col, text_col), "digests")
+    classes = staged(merge_runs(rows, keep).filter("group_size > 1"), "digest-classes")
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumn("dd_digest", F.unhex(F.sha2(norm.cast("binary"), 256))).withColumn("dd_verify", F.xxhash64(norm))
+    maybe, never = bloom_split(keyed, "dd_digest", classes.select(F.col("digest").alias("dd_digest")))
+    c = classes.select(F.col("digest").alias("dd_digest"), F.col("verify").alias("dd_verify"), F.col("keep_id").alias("dd_keep"),
+                       F.lit(True).alias("dd_class"))
+    held = maybe.join(c, ["dd_digest", "dd_verify"], "left")
+    single = held.filter("dd_class IS NULL")
+    kept = (held.filter(F.col("dd_class") & F.col(id_col).eqNullSafe(F.col("dd_keep"))).dropDuplicates(["dd_digest", "dd_verify"]))
+    cols = docs.columns
+    return never.select(*cols).unionByName(single.select(*cols)).unionByName(kept.select(*cols))

@@ -104,3 +104,26 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0]:off[-1]], off - off[0]
+
+
+BLOOM_BLOCKS = 1 << 20    # a filter broadcast by bloom_split has at most this many 16-byte rows
+
+
+def _bloom_key(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(F.lit("bit"), key)
+    mask = F.lit(0).cast("bigint")
+    for i in range(3):
+        bit = F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    return F.pmod(F.xxhash64(key), F.lit(BLOOM_BLOCKS)), mask
+
+
+def bloom_split(big: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ``keys``, rows whose key is not) by a
+    blocked Bloom filter of bounded size, broadcast. Null keys are not. An
+    exact join must follow on the first part."""
+    block, mask = _bloom_key(key)
+    bloom = keys.select(block.alias("bloom_b"), mask.alias("m")).groupBy("bloom_b").agg(F.bit_or("m").alias("bloom_m"))
+    hit = F.col("bloom_m").isNotNull() & (F.col("bloom_m").bitwiseAND(mask) == mask) & F.col(key).isNotNull()
+    tested = big.withColumn("bloom_b", block).join(F.broadcast(bloom), "bloom_b", "left")
+    return tested.filter(hit).drop("bloom_b", "bloom_m"), tested.filter(~hit).drop("bloom_b", "bloom_m")

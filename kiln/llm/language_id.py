@@ -32,7 +32,7 @@ MAX_LANGS = 64
 DOCS_PER_LANG = 600
 PIECE_CHARS = 300
 BLOCK = 1000
-MIN_MARGIN = 0.01            # (second - best) / second, below which a text is rejected
+MIN_MARGIN = 0.003           # (second - best) / second, below which a text is rejected
 
 
 def fit_dictionaries(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str = "lang",

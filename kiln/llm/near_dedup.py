@@ -8,7 +8,7 @@ shingles. Its bottom-k sketch is the ``SKETCH`` smallest values.
 2. Inverted lists: every run of ``RUN`` neighbouring values among the
    ``INDEXED`` smallest is a key. Two sets with similarity s share the union's
    next value with probability s, so they miss a common run of 3 in 48 values
-   with probability under 1e-9 at s = 0.85 (none at all once both sets fit in
+   with probability under 1e-9 at s = 0.85 and 1e-7 at 0.8 (never at all once both sets fit in
    the sketch); sets that share only a few common passages rarely share a run.
    A document all but ``percent`` of whose values occur in no other listed
    document cannot be linked and leaves; documents of up to ``PROBE`` values are
@@ -44,15 +44,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.components import connected_components
-from kiln.llm.helpers import mix64, slices, staged
+from kiln.llm.helpers import bloom_split, mix64, slices, staged
 
 SKETCH, INDEXED, RUN = 64, 48, 3
 SHORT_LIST = 16           # lists up to this many members give all their pairs
-NEAR, CORE = 0.35, 0.6    # estimated similarity to the pivot: family / leaves the list
+NEAR, CORE = 0.3, 0.6     # estimated similarity to the pivot: family / leaves the list
 MAX_PIVOTS = 64           # pivots of a long list: 2, 8, 32, then this many a round
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
 BLOCK = 256               # documents per side of a block comparison
-BLOOM_BLOCKS = 1 << 20    # at most 16 MB broadcast
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -128,13 +127,7 @@ def _sketch_rows(docs: DataFrame, shingle: int) -> DataFrame:
 def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, full set) of the documents in ``ids``. A blocked Bloom filter of
     the ids, of bounded size, thins the texts before the exact semi-join."""
-    block = F.pmod(F.xxhash64("nd_id"), F.lit(BLOOM_BLOCKS))
-    h = F.xxhash64(F.lit("bit"), "nd_id")
-    mask = F.lit(0).cast("bigint")
-    for i in range(3):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-    bloom = ids.select(block.alias("bl"), mask.alias("m")).groupBy("bl").agg(F.bit_or("m").alias("bm"))
-    thin = (docs.withColumn("bl", block).join(F.broadcast(bloom), "bl").filter(F.col("bm").bitwiseAND(mask) == mask).drop("bl", "bm"))
+    thin, _ = bloom_split(docs, "nd_id", ids)
     kind = docs.schema["nd_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,3 +317,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component = F.coalesce("component", "node")
     return out.select(F.col("nd_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       (F.col("nd_id").isNull() | (F.col("nd_id") == component)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without all but one (the smallest id) of each component;
+    all columns stay, and rows with a null id."""
+    gone = staged(near_dedup(docs, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col(id_col)).distinct(), "nd-dropped")
+    maybe, never = bloom_split(docs, id_col, gone)
+    return maybe.join(gone, id_col, "left_anti").select(*docs.columns).unionByName(never.select(*docs.columns))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kiln.llm import exact_dedup as dedup
+from kiln.llm import knn, packing
 from kiln.llm import language_id as lang
 from kiln.llm import near_dedup as near
-from kiln.llm import quality, toxicity
+from kiln.llm import quality, segmentation, toxicity
 from kiln.llm import suffix_dedup as suffix
 from kiln.llm import url_filter as urls
 from kiln.llm.helpers import held_out_of, read
@@ -24,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out_of("doc_id", LANG_HELD_OUT).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("kn_id") % 20 == 0)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM ({URL_RULES}) AS r(host, path, verdict)")
     return urls.url_filter(read(spark, sf_dir, "pages"), rules)
@@ -33,12 +40,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"), TOXIC_HELD_OUT)
     return toxicity.score_toxicity(docs, net, TOXIC_HELD_OUT)
 
 
+def op7_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the sampled segmentations: the ids themselves are hashed."""
+    rows = segmentation.sample_encode(read(spark, sf_dir, "documents"), segmentation.load_pieces(), verify=True)
+    return rows.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+                       "log_prob", "perturbed", "log_inclusion", "round_trip")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), QUALITY_HELD_OUT)
@@ -53,11 +71,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_exact_dedup, op6_toxicity, op8_quality, op9_suffix_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_k, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_sampled_segmentation, op8_quality, op9_suffix_dedup, op10_near_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op2_top_k": """
+        WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
+              FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op3_url_filter": rf"""
         WITH r(rh, rp, v) AS ({URL_RULES}),
         p AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,

@@ -37,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import buffers, mix64, slices, staged
+from kiln.llm.helpers import bloom_split, buffers, mix64, slices, staged
 
 LENGTH, COVER, SEED_BYTES = 400, 128, 12
 SLICE = 1 << 20
-BLOOM_BLOCKS = 1 << 20    # at most 16 MB broadcast
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -141,18 +140,6 @@ def _sample_rows(texts: DataFrame, length: int, cover: int) -> DataFrame:
     return texts.mapInArrow(run, "th binary, lo long, hi long, core long, ctx long")
 
 
-def _bloom_thin(big: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``big`` whose key may be among ``keys``: a blocked Bloom filter
-    of bounded size, broadcast; an exact join must follow."""
-    block = F.pmod(F.xxhash64(key), F.lit(BLOOM_BLOCKS))
-    h = F.xxhash64(F.lit("bit"), key)
-    mask = F.lit(0).cast("bigint")
-    for i in range(3):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-    bloom = keys.select(block.alias("bl"), mask.alias("m")).groupBy("bl").agg(F.bit_or("m").alias("bm"))
-    return big.withColumn("bl", block).join(F.broadcast(bloom), "bl").filter(F.col("bm").bitwiseAND(mask) == mask).drop("bl", "bm")
-
-
 def _window_rows(texts: DataFrame, length: int) -> DataFrame:
     """Names of the starts of each listed range: texts (th, d, text, ranges)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +177,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, cover: int = COVER) -
     names = staged(_sample_rows(texts.filter(F.octet_length("text") >= length).select("th", "text"), length, cover), "sd-samples")
     again = staged(names.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
                    .filter("n > 1").select("core", (F.col("c0") != F.col("c1")).alias("open")), "sd-names")
-    live = staged(_bloom_thin(names, "core", again).join(again, "core"), "sd-live")
+    live = staged(bloom_split(names, "core", again)[0].join(again, "core"), "sd-live")
     ctx = staged(live.groupBy("core", "ctx", "open").agg(F.count("*").alias("n"), F.min(F.struct("th", "lo", "hi")).alias("o")), "sd-contexts")
     # Starts settled by equal contexts.
     equal = (live.drop("open").join(ctx.filter("n > 1").select("core", "ctx"), ["core", "ctx"]).select("th", "lo", "hi").distinct())
@@ -198,7 +185,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, cover: int = COVER) -
     todo = (ctx.filter("open").select("o.th", "o.lo", "o.hi", (F.col("n") > 1).alias("w"))
             .groupBy("th").agg(F.collect_list(F.struct("lo", "hi", "w")).alias("ranges")))     # bounded by the text's own length
     todo = staged(todo, "sd-open")
-    some = (_bloom_thin(texts.select("th", "text"), "th", todo.select("th"))
+    some = (bloom_split(texts.select("th", "text"), "th", todo.select("th"))[0]
             .join(todo, "th").dropDuplicates(["th"]).select("th", F.xxhash64("th").alias("d"), "text", "ranges"))
     w = Window.partitionBy("k1", "k2").orderBy("k1")
     same = staged(_window_rows(some, length)
@@ -259,7 +246,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(src, length, cover)
     gone = F.aggregate(F.zip_with("starts", "stops", lambda s, e: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     spans = spans.withColumn("n_removed", gone).withColumn("n_spans", F.size("starts").cast("bigint"))
-    texts = _bloom_thin(src.select("th", "text"), "th", spans.select("th")).join(spans, "th").filter(F.octet_length("text") > F.col("n_removed"))
+    texts = bloom_split(src.select("th", "text"), "th", spans.select("th"))[0].join(spans, "th").filter(F.octet_length("text") > F.col("n_removed"))
     sha = staged(_cut_rows(texts, ["th"], "cut_sha", "th binary, cut_sha string", True).distinct(), "sd-cut")
     base = staged(src.select("sd_id", "th", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("full_sha")), "sd-base")
     found = staged(spans.select("th", "n_removed", "n_spans").join(sha, "th", "left"), "sd-found")
@@ -278,8 +265,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     key = "sd_text_key"
     keyed = docs.withColumn(key, text_key(text_col))
     spans = repeated_spans(keyed.select(F.col(key).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, cover)
-    joined = keyed.join(spans.withColumnsRenamed({"th": key, "starts": "sd_starts", "stops": "sd_stops"}), key, "left")
-
+    maybe, never = bloom_split(keyed, key, spans.select(F.col("th").alias(key)))
+    joined = maybe.join(spans.withColumnsRenamed({"th": key, "starts": "sd_starts", "stops": "sd_stops"}), key, "left")
     schema = docs.schema
     cols = docs.columns
 
@@ -291,4 +278,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             new = pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else b.column(c) for c in cols], names=cols)
             yield new.filter(pa.array(keep))
 
-    return joined.select(*cols, "sd_starts", "sd_stops").mapInArrow(run, schema)
+    return joined.select(*cols, "sd_starts", "sd_stops").mapInArrow(run, schema).unionByName(never.select(*cols))
