@@ -49,9 +49,9 @@ from kiln.llm.helpers import bloom_split, mix64, slices, staged
 SKETCH, INDEXED, RUN = 64, 48, 3
 SHORT_LIST = 16           # lists up to this many members give all their pairs
 NEAR, CORE = 0.3, 0.6     # estimated similarity to the pivot: family / leaves the list
-MAX_PIVOTS = 64           # pivots of a long list: 2, 8, 32, then this many a round
+MAX_PIVOTS = 64           # pivots of a long list: 1, 4, 16, then this many a round
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
-BLOCK = 256               # documents per side of a block comparison
+BLOCK = 512               # documents per side of a block comparison
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -287,7 +287,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = staged(known.select("nd_id", "sketch").join(cand, "nd_id", "left_semi"), "nd-candidate-sketches")
     left = left.join(cand, "nd_id", "left_semi")
 
-    links, pivots = None, 2
+    links, pivots = None, 1
     while True:
         sizes = staged(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "nd-sizes")
         if not sizes.take(1):
