@@ -33,7 +33,7 @@ WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 CHAR_BUCKETS = 1 << 13
 MAX_VOCAB = 20_000
-EPOCHS, BATCH_DOCS, RATE, SEED = 3, 64, 0.01, 7
+STEPS, BATCH_DOCS, RATE, SEED = 190, 64, 0.01, 7
 THRESHOLD = 0.3
 _STRIP = ".,;:!?\"'()[]#$%&*-"
 
@@ -186,8 +186,9 @@ def padded(first: np.ndarray, count: np.ndarray, ids: np.ndarray, t_max: int) ->
     return idx, mask.astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network | float:
-    """Fit the network; the class rate alone when a class is missing."""
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> Network | float:
+    """Fit the network in about ``steps`` batches, whole passes over the rows;
+    the class rate alone when a class is missing."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -210,7 +211,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     start = np.searchsorted(wrow, np.arange(len(y) + 1))
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    step, epochs = 0, max(2, -(-steps * BATCH_DOCS // len(y)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH_DOCS):
@@ -237,7 +238,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             n = np.diff(toff)
             g["char"] = np.zeros_like(net.p["char"])
             np.add.at(g["char"], tid, np.repeat(dvec[:, WORD_DIM:] / np.maximum(n, 1)[:, None], n, axis=0))
-            lr = RATE * (0.3 if epoch == epochs - 1 else 1.0)
+            lr = RATE * (0.3 if epoch >= 0.66 * epochs else 1.0)
             for k, v in g.items():
                 m1[k] += 0.1 * (v - m1[k])
                 m2[k] += 0.01 * (v * v - m2[k])
