@@ -51,7 +51,7 @@ SHORT_LIST = 16           # lists up to this many members give all their pairs
 NEAR, CORE = 0.3, 0.6     # estimated similarity to the pivot: family / leaves the list
 MAX_PIVOTS = 64           # pivots of a long list: 1, 4, 16, then this many a round
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
-BLOCK = 512               # documents per side of a block comparison
+BLOCK, BLOCK_VALUES = 2048, 400_000   # documents and set values per side of a block comparison (about 3 MB)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -183,39 +183,42 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _estimates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(p, x, est) of candidate pairs with est >= NEAR."""
+    """(p, x, n of x, est) of candidate pairs with est >= NEAR."""
     sp = sketches.select(F.col("nd_id").alias("p"), F.col("sketch").alias("sp"))
-    sx = sketches.select(F.col("nd_id").alias("x"), F.col("sketch").alias("sx"))
+    sx = sketches.select(F.col("nd_id").alias("x"), "n", F.col("sketch").alias("sx"))
     kind = sketches.schema["nd_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             est = np.array([union_estimate(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64))
                             for u, v in zip(b.column("sp").to_pylist(), b.column("sx").to_pylist())], dtype=np.float64)
-            out = pa.RecordBatch.from_arrays([b.column("p"), b.column("x"), pa.array(est)], names=["p", "x", "est"])
+            out = pa.RecordBatch.from_arrays([b.column("p"), b.column("x"), b.column("n"), pa.array(est)], names=["p", "x", "n", "est"])
             yield out.filter(pa.array(est >= NEAR))
 
-    return pairs.join(sx, "x").join(sp, "p").select("p", "x", "sp", "sx").mapInArrow(run, f"p {kind}, x {kind}, est double")
+    return pairs.join(sx, "x").join(sp, "p").select("p", "x", "n", "sp", "sx").mapInArrow(run, f"p {kind}, x {kind}, n long, est double")
 
 
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Component label of every set within one block comparison: sets i in
     ``left`` and j in ``right`` are linked if 100 |i & j| >= percent |i | j|.
-    Intersections are counted by matrix products over slices of the values."""
+    Intersections are counted by matrix products over slices of the values
+    that at least two of the sets hold."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     vals, inv = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.zeros(0), np.zeros(0, np.int64))
     row = np.repeat(np.arange(n), size)
     order = np.argsort(inv, kind="stable")
     inv, row = inv[order], row[order]
-    inter = np.zeros((n, n), np.float64)
-    for lo in range(0, len(vals), 8192):
-        a, b = np.searchsorted(inv, [lo, lo + 8192])
-        m = np.zeros((n, 8192), np.float32)
+    shared = np.bincount(inv, minlength=len(vals)) > 1
+    keep = shared[inv]
+    inv, row = (np.cumsum(shared) - 1)[inv[keep]], row[keep]
+    inter = np.zeros((n, n), np.float32)                   # counts below 2^24 are exact
+    for lo in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(inv, [lo, lo + 2048])
+        m = np.zeros((n, 2048), np.float32)
         m[row[a:b], inv[a:b] - lo] = 1
         inter += m @ m.T
-    union = size[:, None] + size[None, :] - inter
-    linked = (100 * inter >= percent * union) & (inter > 0)
+    linked = ((100.0 + percent) * inter.astype(np.float64) >= percent * (size[:, None] + size[None, :])) & (inter > 0)
     ok = left[:, None] & right[None, :]
     linked &= ok | ok.T
     np.fill_diagonal(linked, True)
@@ -229,11 +232,11 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 def _family_links(near: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
     """Exact links (a, b) inside the pivots' families ``near`` (p, x, est)."""
-    stats = near.groupBy("p").agg(F.count("*").alias("size"), F.max("est").alias("top")).filter(F.col("top") >= CORE)
-    fam = near.join(stats, "p").withColumn("nb", F.ceil((F.col("size") + 1) / BLOCK).cast("int"))
+    blocks = F.greatest(F.ceil((F.count("*") + 1) / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int")
+    stats = near.groupBy("p").agg(blocks.alias("nb"), F.max("est").alias("top")).filter(F.col("top") >= CORE).drop("top")
+    fam = near.drop("n").join(stats, "p")
     fam = fam.select("p", "x", "nb", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("blk"), (F.col("est") >= CORE).alias("core"))
-    pivots = stats.select("p", F.col("p").alias("x"), F.ceil((F.col("size") + 1) / BLOCK).cast("int").alias("nb"),
-                          F.lit(-1).alias("blk"), F.lit(True).alias("core"))
+    pivots = stats.select("p", F.col("p").alias("x"), "nb", F.lit(-1).alias("blk"), F.lit(True).alias("core"))
     slots = F.sequence(F.lit(0), F.col("nb") - 1)
     # A member of block b meets every other block c in task (min, max); the pivot is in every task (i, i).
     fam = fam.select("p", "x", "blk", "core", F.explode(slots).alias("o")).select(
@@ -284,7 +287,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cand = staged(left.select("nd_id").distinct(), "nd-candidates")
     sets = staged(_full_sets(src, cand, shingle), "nd-candidate-sets")
     cand = staged(_linkable(sets, percent), "nd-candidates")
-    sketches = staged(known.select("nd_id", "sketch").join(cand, "nd_id", "left_semi"), "nd-candidate-sketches")
+    sketches = staged(known.select("nd_id", "n", "sketch").join(cand, "nd_id", "left_semi"), "nd-candidate-sketches")
     left = left.join(cand, "nd_id", "left_semi")
 
     links, pivots = None, 1
