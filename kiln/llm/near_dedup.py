@@ -300,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         w = Window.partitionBy("key").orderBy(F.xxhash64("nd_id", F.lit("pivot")), "nd_id")
         heads = staged(long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pivots)
                        .select("key", F.col("nd_id").alias("p")), "nd-pivots")
-        tested = long.withColumnRenamed("nd_id", "x").join(heads, "key").filter("p <> x")
+        tested = staged(long.withColumnRenamed("nd_id", "x").join(heads, "key").filter("p <> x"), "nd-tested")   # read twice below
         pairs = (short.withColumnRenamed("nd_id", "p").join(short.withColumnRenamed("nd_id", "x"), "key").filter("p < x").select("p", "x")
                  .union(tested.select("p", "x"))).distinct()
         near = staged(_estimates(pairs, sketches), "nd-near")
