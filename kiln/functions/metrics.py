@@ -25,16 +25,16 @@ def smooth_l1(pred, label, beta: float = 1.0) -> Column:
 
 
 def clamp_score(s, lo: float = 1.0, hi: float = 5.0) -> Column:
-    """M4: clamp to [lo, hi]; NaN stays NaN (Spark's ``least`` treats NaN as
-    the largest value, so it is guarded)."""
+    """M4: clamp to [lo, hi]; null and NaN stay as they are (Spark's ``least``
+    and ``greatest`` skip nulls and treat NaN as the largest value)."""
     s = _c(s)
-    return F.when(F.isnan(s), s).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), s)))
+    return F.when(s.isNull() | F.isnan(s), s).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), s)))
 
 
 def transformer_block_flops(L, d, ffn_mult=4) -> Column:
     """``4 L d² + 2 L² d + 2 L d (m d)`` for one encoder layer."""
     L, d, m = _c(L).cast("double"), _c(d).cast("double"), _c(ffn_mult).cast("double")
-    return 3.0 * L * d * d + 1.0 * L * d * d + 2.0 * L * L * d + 2.0 * L * d * (m * d)
+    return 4.0 * L * d * d + 2.0 * L * L * d + 2.0 * L * d * (m * d)
 
 
 def image_branch_flops(h=REF_IMAGE_SIZE[0], w=REF_IMAGE_SIZE[1]) -> Column:
@@ -77,5 +77,6 @@ def efficiency_factor(C, alpha: float = EFF_ALPHA, beta: float = EFF_BETA, gamma
 
 
 def ces_score(plcc, C) -> Column:
-    """``max(0, plcc) · E(C)``."""
-    return F.greatest(F.lit(0.0), _c(plcc).cast("double")) * efficiency_factor(C)
+    """``max(0, plcc) · E(C)``; an undefined (NaN) correlation counts as 0."""
+    r = _c(plcc).cast("double")
+    return F.when(F.isnan(r), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r)) * efficiency_factor(C)

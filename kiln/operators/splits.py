@@ -32,7 +32,8 @@ def rare_strata(df: DataFrame, value_col: str = "average_rating", threshold: int
 def _strata_map(counts: DataFrame, value_col: str, threshold: int, out_col: str) -> DataFrame:
     """value -> stratum label; a missing value keeps its own label ``nan``
     (it is never counted as rare), like a string cast of NaN."""
-    label = (F.when(F.col(value_col).isNull(), F.lit("nan"))
+    missing = F.col(value_col).isNull() | F.isnan(F.col(value_col).cast("double"))
+    label = (F.when(missing, F.lit("nan"))
              .when(F.col("__vc") <= threshold, F.lit("RARE"))
              .otherwise(F.col(value_col).cast("string")))
     return counts.select(value_col, label.alias(out_col))
@@ -75,7 +76,7 @@ def split_quotas(strata_counts: DataFrame, label: str = STRATUM, test_size: floa
     t = (c.withColumn("__c", F.col("__c") - F.col("q_train"))
          .withColumn("__t", F.sum("__c").over(w_all)))
     t = t.withColumn("__chk2", F.assert_true(
-        (F.col("__t") == 0) | (F.min("__c").over(w_all) >= 2),
+        (F.col("__t") == 0) | (F.min(F.when(F.col("__c") > 0, F.col("__c"))).over(w_all) >= 2),
         F.lit("The least populated stratum of the held-out part has only 1 member.")))
     t = t.withColumn("__n_val", F.col("__t") - F.ceil(F.col("__t") * F.lit(float(second_test_size))).cast("long"))
     t = _largest_remainder(t, "__t", "__n_val", label, "q_val")

@@ -12,14 +12,20 @@ from kiln.config import NA_TOKENS
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def _all_strings(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+def _by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns as strings, found by header name: column order and
+    extra columns do not matter, a missing column is an error."""
+    raw = spark.read.options(**_CSV_OPTS).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def read_csv_keep_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S3: read with the given schema; empty fields stay ``''`` (Spark reads
     a bare empty field as null, so string columns are coalesced)."""
-    raw = spark.read.options(**_CSV_OPTS).schema(_all_strings(schema)).csv(path)
+    raw = _by_name(spark, path, schema)
     cols = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
@@ -38,7 +44,7 @@ def na_to_null(c):
 def read_csv_default_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """As a default pandas read -- the 19 NA tokens become null, before
     casting to the declared types."""
-    raw = spark.read.options(**_CSV_OPTS).schema(_all_strings(schema)).csv(path)
+    raw = _by_name(spark, path, schema)
     return raw.select(*[na_to_null(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
                         for f in schema.fields])
 

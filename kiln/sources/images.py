@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ def read_image_dir(spark: SparkSession, root: str, recursive: bool = True) -> Da
     image struct; undecodable files get width -1 and are marked invalid."""
     df = (spark.read.format("image").option("dropInvalid", "false")
           .option("recursiveFileLookup", str(recursive).lower()).load(root))
-    base = root.rstrip("/") + "/"
+    base = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/")) + "/"
     origin = F.col("image.origin")
-    rel = F.regexp_replace(F.url_decode(origin), r"^file:(//)?", "")
+    # Percent-decoding only: form decoding would turn "+" into a blank.
+    rel = F.regexp_replace(F.url_decode(F.regexp_replace(origin, r"\+", "%2B")), r"^file:(//)?(?=/)", "")
     rel = F.when(rel.startswith(base), F.substring(rel, len(base) + 1, 1 << 30)).otherwise(rel)
     return df.select(rel.alias("path"), F.col("image.width").alias("width"),
                      F.col("image.height").alias("height"),
