@@ -44,7 +44,7 @@ _LITERAL = "\udc81"            # stands for a U+2581 of the text itself; cannot
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _SPLIT = re.compile(f"[^{BLANK}]{BLANK}")
 REACH = 38.0                 # largest excess of a Gumbel drawn from uniforms of 54 bits
-SLICE = 8 << 20              # bytes of text worked on at a time
+SLICE = 4 << 20              # bytes of text worked on at a time
 
 
 def load_pieces(path: str = MODEL) -> dict:
