@@ -13,14 +13,15 @@ shingles. Its bottom-k sketch is the ``SKETCH`` smallest values.
    A document all but ``percent`` of whose values occur in no other listed
    document cannot be linked and leaves; documents of up to ``PROBE`` values are
    tested on all of them, longer ones on a hash sample with a six-sigma margin.
-3. Overlaps without all pairs of a list: short lists give their pairs; a long
+3. Overlaps without all pairs of a list: of lists with the same members one
+   stays, long lists with the same first pivot become one; short lists give their pairs; a long
    list compares all members with a few pivots (the members of least hash, so
    that lists of the same family choose the same ones; four times as many in each
    round). The union-sketch estimate keeps members near a pivot (``NEAR``);
    those very near it (``CORE``) leave the list, as everything linked to them
    is near that pivot too, by the triangle inequality of the Jaccard distance.
-   The rest of the list goes round again until it is short or empty, so no
-   partner is lost.
+   The rest of the list goes round again until it is short, empty or small
+   enough to be compared whole on full sets, so no partner is lost.
 4. A pivot's family is compared on full sets in blocks of bounded size. Each
    block task emits a spanning forest of its exact links, not the pairs.
 5. Star contraction joins the links into components.
@@ -35,6 +36,7 @@ closure, so the result does not depend on order or partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,11 @@ from kiln.llm.components import connected_components
 from kiln.llm.helpers import bloom_split, mix64, slices, staged
 
 SKETCH, INDEXED, RUN = 64, 48, 3
-SHORT_LIST = 16           # lists up to this many members give all their pairs
+SHORT_LIST, SHORT_LATER = 16, 128  # lists up to this many members give all their pairs: first round, later rounds
 NEAR, CORE = 0.3, 0.6     # estimated similarity to the pivot: family / leaves the list
-MAX_PIVOTS = 64           # pivots of a long list: 1, 4, 16, then this many a round
+MAX_PIVOTS, PIVOT_GROWTH = 64, 4   # pivots of a long list: 1, 4, 16, then 64 a round
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
+BLOCK_LIST, BLOCK_LIST_VALUES = 1024, 1_600_000   # what is left of a list after the first round, if no larger, is compared whole
 BLOCK, BLOCK_VALUES = 2048, 400_000   # documents and set values per side of a block comparison (about 3 MB)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,7 +143,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """Ids whose share of values found in other listed documents allows a
+    """Ids (and set sizes) whose share of values found in other listed documents allows a
     link. A document asks about the values below PROBE / n of the hash range
     and answers with somewhat more, so every possible partner (at least
     percent / 100 as large) answers all that is asked."""
@@ -152,7 +155,7 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "members"):
-            row, vals, asks, need = [], [], [], []
+            row, vals, asks, need, size = [], [], [], [], []
             for k, m in enumerate(b.column("members").to_pylist()):
                 v = np.frombuffer(m, np.uint64)
                 n = len(v)
@@ -162,14 +165,16 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
                 vals.append(tell.astype(np.int64))
                 asks.append(np.arange(len(tell)) < ask)
                 need.append(np.full(len(tell), ask * (p if n <= PROBE else p - 6 * (p * (1 - p) / max(ask, 1)) ** 0.5)))
+                size.append(np.full(len(tell), n))
             yield pa.RecordBatch.from_arrays(
                 [b.column("nd_id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(vals)),
-                 pa.array(np.concatenate(asks)), pa.array(np.concatenate(need))], names=["nd_id", "v", "ask", "need"])
+                 pa.array(np.concatenate(asks)), pa.array(np.concatenate(need)), pa.array(np.concatenate(size))],
+                names=["nd_id", "v", "ask", "need", "n"])
 
-    told = staged(sets.mapInArrow(run, f"nd_id {kind}, v long, ask boolean, need double"), "nd-values")
+    told = staged(sets.mapInArrow(run, f"nd_id {kind}, v long, ask boolean, need double, n long"), "nd-values")
     common = told.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select("v")
     return (told.filter("ask").join(common, "v", "left_semi").groupBy("nd_id")
-            .agg(F.count("*").alias("c"), F.max("need").alias("need")).filter("c >= need - 1e-6").select("nd_id"))
+            .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("n").alias("n")).filter("c >= need - 1e-6").select("nd_id", "n"))
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -287,29 +292,54 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cand = staged(left.select("nd_id").distinct(), "nd-candidates")
     sets = staged(_full_sets(src, cand, shingle), "nd-candidate-sets")
     cand = staged(_linkable(sets, percent), "nd-candidates")
-    sketches = staged(known.select("nd_id", "n", "sketch").join(cand, "nd_id", "left_semi"), "nd-candidate-sketches")
-    left = left.join(cand, "nd_id", "left_semi")
+    sketches = staged(known.select("nd_id", "n", "sketch").join(cand.select("nd_id"), "nd_id", "left_semi"), "nd-candidate-sketches")
+    left = left.join(cand, "nd_id")
 
     links, pivots = None, 1
     while True:
-        sizes = staged(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "nd-sizes")
-        if not sizes.take(1):
+        # Lists with the same members give the same pairs: one of them stays.
+        sizes = left.groupBy("key").agg(
+            F.count("*").alias("m"), F.sum("n").alias("values"), F.min("nd_id").alias("head"), F.bit_xor(F.xxhash64("nd_id")).alias("x1"),
+            F.bit_xor(F.xxhash64("nd_id", F.lit("list"))).alias("x2")).filter("m > 1")
+        way = (F.when((F.lit(pivots) > 1) & (F.col("m") <= BLOCK_LIST) & (F.col("values") <= BLOCK_LIST_VALUES), "block")
+               .when(F.col("m") <= (SHORT_LIST if pivots == 1 else SHORT_LATER), "short").otherwise("long"))
+        sizes = staged(sizes.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.max("values").alias("values"), F.max("head").alias("head"))
+                       .select("key", "head", way.alias("way")), "nd-sizes")
+        any_block, any_short, any_long = sizes.agg(*(F.max(F.col("way") == x) for x in ("block", "short", "long"))).first()
+        if not (any_block or any_short or any_long):
             break
         cur = staged(left.join(sizes, "key"), "nd-lists")
-        short, long = cur.filter(F.col("m") <= SHORT_LIST).select("key", "nd_id"), cur.filter(F.col("m") > SHORT_LIST).select("key", "nd_id")
-        w = Window.partitionBy("key").orderBy(F.xxhash64("nd_id", F.lit("pivot")), "nd_id")
-        heads = staged(long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pivots)
-                       .select("key", F.col("nd_id").alias("p")), "nd-pivots")
-        tested = staged(long.withColumnRenamed("nd_id", "x").join(heads, "key").filter("p <> x"), "nd-tested")   # read twice below
-        pairs = (short.withColumnRenamed("nd_id", "p").join(short.withColumnRenamed("nd_id", "x"), "key").filter("p < x").select("p", "x")
-                 .union(tested.select("p", "x"))).distinct()
-        near = staged(_estimates(pairs, sketches), "nd-near")
-        found = staged(_family_links(near, sets, percent, id_type).distinct(), "nd-links")
+        families, pairs = [], []
+        if any_block:
+            families.append(cur.filter("way = 'block' AND nd_id <> head")
+                            .select(F.col("head").alias("p"), F.col("nd_id").alias("x"), "n", F.lit(1.0).alias("est")).distinct())
+        if any_short:
+            short = cur.filter("way = 'short'").select("key", "nd_id")
+            pairs.append(short.withColumnRenamed("nd_id", "p").join(short.withColumnRenamed("nd_id", "x"), "key").filter("p < x").select("p", "x"))
+        if any_long:
+            long = cur.filter("way = 'long'").select("key", "nd_id", "n")
+            w = Window.partitionBy("key").orderBy(F.xxhash64("nd_id", F.lit("pivot")), "nd_id")
+            heads = staged(long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pivots)
+                           .select("key", F.col("nd_id").alias("p")), "nd-pivots")
+            tested = long.withColumnRenamed("nd_id", "x").join(heads, "key").filter("p <> x")
+            if pivots == 1:        # lists with the same pivot become one
+                tested = tested.select(F.col("p").cast("string").alias("key"), "x", "n", "p").distinct()
+                heads = heads.select(F.col("p").cast("string").alias("key"), "p").distinct()
+            tested = staged(tested, "nd-tested")   # read twice below
+            if pivots == 1:
+                long = tested.select("key", F.col("x").alias("nd_id"), "n")
+            pairs.append(tested.select("p", "x"))
+        if pairs:
+            near = staged(_estimates(reduce(DataFrame.union, pairs).distinct(), sketches), "nd-near")
+            families.append(near)
+        found = staged(_family_links(reduce(DataFrame.union, families), sets, percent, id_type).distinct(), "nd-links")
         links = found if links is None else links.union(found)
+        if not any_long:
+            break
         done = (tested.join(near.filter(F.col("est") >= CORE).select("p", "x"), ["p", "x"], "left_semi").select("key", "x")
                 .union(heads.select("key", F.col("p").alias("x"))).distinct())
         left = staged(long.join(done.withColumnRenamed("x", "nd_id"), ["key", "nd_id"], "left_anti"), "nd-lists")
-        pivots = min(MAX_PIVOTS, 4 * pivots)
+        pivots = min(MAX_PIVOTS, PIVOT_GROWTH * pivots)
 
     if links is None:
         comp = members.select(F.col("nd_id").alias("node"), F.col("nd_id").alias("component")).limit(0)

@@ -89,9 +89,14 @@ def brute_components(rows, n, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("n,percent,short", [(3, 85, 16), (5, 80, 2)])
-def test_near_dedup_matches_brute_force(spark, rows, monkeypatch, n, percent, short):
+@pytest.mark.parametrize("n,percent,short,lists", [(3, 85, 16, "blocks"), (5, 80, 2, "pivots"), (5, 80, 2, "blocks"), (3, 85, 2, "pairs")])
+def test_near_dedup_matches_brute_force(spark, rows, monkeypatch, n, percent, short, lists):
     monkeypatch.setattr(near_dedup, "SHORT_LIST", short)    # 2: every list goes through pivots
+    if lists == "pivots":
+        monkeypatch.setattr(near_dedup, "SHORT_LATER", short)
+        monkeypatch.setattr(near_dedup, "BLOCK_LIST", 0)
+    elif lists == "pairs":
+        monkeypatch.setattr(near_dedup, "BLOCK_LIST_VALUES", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)            # families span several blocks
     sets, comp = brute_components(rows, n, percent)
     got = near_dedup.near_dedup(frame(spark, rows), shingle=n, percent=percent).collect()
