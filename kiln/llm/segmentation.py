@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,7 @@ class Lattices:
         self.longest = max(map(len, names))
         ids = np.array([model["pieces"][p][0] for p in names], np.int64)
         weights = np.array([model["pieces"][p][1] for p in names])
+        self.alive = np.zeros(1 << 22, bool)      # by the high bits of a hash: some piece may begin like this
         h = self._hashes(names)
         # Two-choice table: a piece sits in the slot of its high bits, or if
         # that is taken in the sorted rest.
@@ -108,14 +111,14 @@ class Lattices:
         self.spelled: dict[int, int] = {}
         self.spellings: list[list[int]] = []
 
-    @staticmethod
-    def _hashes(names: list[str]) -> np.ndarray:
+    def _hashes(self, names: list[str]) -> np.ndarray:
         size = np.array([len(x) for x in names])
         code = mix64(np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
         first, h = np.cumsum(size) - size, np.zeros(len(names), np.uint64)
         for i in range(int(size.max())):
             on = size > i
             h[on] = h[on] * _B + code[first[on] + i]
+            self.alive[mix64(h[on]) >> np.uint64(42)] = True
         return mix64(h)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
@@ -171,14 +174,20 @@ class Lattices:
             if not len(at):
                 break
             key = mix64(h)
+            on = self.alive[key >> np.uint64(42)]
+            if n == 1:
+                single = np.zeros(len(chars), bool)      # characters that are pieces
+            at, h, key = at[on], h[on], key[on]
             k = self._find(key)
             hit = k >= 0
             src.append(at[hit])
             ids.append(self.ids[k[hit]])
             weight.append(self.weights[k[hit]])
             length.append(np.full(int(hit.sum()), n))
-            if n == 1 and not hit.all():
-                miss = at[~hit]
+            if n == 1:
+                single[at[hit]] = True
+                miss = np.flatnonzero(~single)
+            if n == 1 and len(miss):
                 u, inv = np.unique(chars[miss], return_inverse=True)
                 spell = np.array([self._spelling(int(c)) for c in u])
                 src.append(miss)
@@ -218,7 +227,7 @@ def sample_paths(t: dict, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarr
     """(edges of all paths one after another, offsets): one path per state,
     each piece drawn with its probability."""
     live, cur, sd = np.arange(len(state)), state, seed
-    steps, count = [], np.zeros(len(state), np.int64)
+    steps, taken = [], np.zeros(len(state), np.int64)
     k = 0
     while len(live):
         e = t["start"][cur].copy()
@@ -232,12 +241,12 @@ def sample_paths(t: dict, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarr
             more = e[open_] < last[open_]
             open_, u = open_[more], u[more]
         steps.append((live, e))
-        count[live] += 1
+        taken[live] += 1
         cur = t["to"][e]
         on = cur >= 0
         live, cur, sd = live[on], cur[on], sd[on]
         k += 1
-    off = np.concatenate([[0], np.cumsum(count)])
+    off = np.concatenate([[0], np.cumsum(taken)])
     out = np.empty(off[-1], np.int64)
     for k, (who, e) in enumerate(steps):
         out[off[who] + k] = e
@@ -339,23 +348,22 @@ def sample_encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
         lat = Lattices(model)
         for b in slices(batches, "text", SLICE):
             texts, keys = b.column("text").to_pylist(), b.column("sg_id").to_pylist()
-            number: dict[str, int] = {}
+            number: defaultdict[str, int] = defaultdict(count().__next__)
             uid: list[int] = []
             bound = [0]
             for text in texts:
-                uid += [number.setdefault(u, len(number)) for u in units(text)]
+                uid += map(number.__getitem__, units(text))
                 bound.append(len(uid))
             t = lat.table(list(number))
             state = t["first"][np.array(uid)]
             rs = np.array([xxhash.xxh3_64_intdigest(repr(key), seed=seed) for key in keys], np.uint64)
             n = np.diff(bound)
             place = np.arange(len(uid)) - np.repeat(np.array(bound[:-1]), n)
-            edges, offs = [], []
-            for j in range(k):
-                sd = mix64(np.repeat(rs, n) + mix64(place.astype(np.uint64) * np.uint64(k) + np.uint64(j)))
-                e, o = sample_paths(t, state, sd)
-                edges.append(e)
-                offs.append(o)
+            sd = np.concatenate([mix64(np.repeat(rs, n) + mix64(place.astype(np.uint64) * np.uint64(k) + np.uint64(j))) for j in range(k)])
+            e, o = sample_paths(t, np.tile(state, k), sd)
+            cut = np.arange(k + 1) * len(uid)
+            edges = [e[o[x]:o[y]] for x, y in zip(cut[:-1], cut[1:])]
+            offs = [o[x:y + 1] - o[x] for x, y in zip(cut[:-1], cut[1:])]
             rows: list[tuple] = []
             paths = []
             for d in range(len(texts)):
