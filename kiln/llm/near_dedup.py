@@ -8,8 +8,11 @@ shingles. Its bottom-k sketch is the ``SKETCH`` smallest values.
 2. Inverted lists: every run of ``RUN`` neighbouring values among the
    ``INDEXED`` smallest is a key. Two sets with similarity s share the union's
    next value with probability s, so they miss a common run of 3 in 48 values
-   with probability under 1e-9 at s = 0.85 and 1e-7 at 0.8 (never at all once both sets fit in
-   the sketch); sets that share only a few common passages rarely share a run.
+   with probability under 1e-9 at s = 0.85 and 1e-7 at 0.8. From 80 % on, sets that
+   both fit in the sketch always share a run, but for five values against four of
+   them (4/5): the odd one in the middle leaves runs of two. Sets of up to ``SMALL``
+   values therefore list their runs of two as well. Sets that share only a few common
+   passages rarely share a run.
    A document all but ``percent`` of whose values occur in no other listed
    document cannot be linked and leaves; documents of up to ``PROBE`` values are
    tested on all of them, longer ones on a hash sample with a six-sigma margin.
@@ -49,6 +52,7 @@ from kiln.llm.components import connected_components
 from kiln.llm.helpers import bloom_split, mix64, slices, staged
 
 SKETCH, INDEXED, RUN = 64, 48, 3
+SMALL = 5                 # sets of up to this many values are listed under their runs of two too
 SHORT_LIST, SHORT_LATER = 16, 128  # lists up to this many members give all their pairs: first round, later rounds
 NEAR, CORE = 0.3, 0.6     # estimated similarity to the pivot: family / leaves the list
 MAX_PIVOTS, PIVOT_GROWTH = 64, 4   # pivots of a long list: 1, 4, 16, then 64 a round
@@ -95,17 +99,19 @@ def shingle_sets(col: pa.Array, shingle: int) -> list[np.ndarray]:
 
 
 def run_keys(values: np.ndarray) -> np.ndarray:
-    """Keys of the neighbouring runs among the indexed smallest values; a set
-    shorter than one run is its own key."""
+    """Keys of the neighbouring runs among the indexed smallest values, runs of
+    two of a small set included; a set shorter than one run is its own key."""
     s = values[:INDEXED]
-    r = min(RUN, len(s))
-    if r == 0:
+    if len(s) == 0:
         return np.zeros(0, np.int64)
-    m = len(s) - r + 1
-    acc = np.full(m, r, np.uint64)
-    for i in range(r):
-        acc = mix64(acc * _B + s[i:i + m] + _A)
-    return acc.astype(np.int64)
+    out = []
+    for r in {min(RUN, len(s)), 2} if 2 <= len(s) <= SMALL else {min(RUN, len(s))}:
+        m = len(s) - r + 1
+        acc = np.full(m, r, np.uint64)
+        for i in range(r):
+            acc = mix64(acc * _B + s[i:i + m] + _A)
+        out.append(acc)
+    return np.concatenate(out).astype(np.int64)
 
 
 def _sketch_rows(docs: DataFrame, shingle: int) -> DataFrame:

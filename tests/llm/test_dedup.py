@@ -104,6 +104,19 @@ def test_near_dedup_matches_brute_force(spark, rows, monkeypatch, n, percent, sh
     assert len(got) == len(rows) and max(Counter(comp.values()).values()) > 5
 
 
+def test_near_dedup_nine_words_against_eight(spark):
+    rng, rows, seen = random.Random(11), [], set()
+    while len(seen) < 10:                                   # first or last word gone, its shingle at every rank of the hash order
+        w, first = words(rng, 9), rng.random() < 0.5
+        five, four = near_dedup.shingle_sets(pa.array([" ".join(w), " ".join(w[1:] if first else w[:-1])]), 5)
+        case = (first, int(np.flatnonzero(~np.isin(five, four))[0]))
+        if case not in seen:
+            seen.add(case)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[1:] if first else w[:-1]))]
+    got = near_dedup.near_dedup(frame(spark, rows), shingle=5, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_dedup_null_id_stays(spark):
     df = frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(df, shingle=3).collect()), key=str)
