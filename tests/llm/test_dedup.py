@@ -117,6 +117,20 @@ def test_near_dedup_nine_words_against_eight(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("short", [16, 1])                  # 1: the pair's lists go through a pivot
+def test_near_dedup_link_of_low_estimate(spark, monkeypatch, short):
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", short)
+    w = [f"w{i}" for i in range(200)]
+    h = near_dedup.shingle_sets(pa.array(w), 1)
+    w.sort(key=lambda x: int(h[int(x[1:])][0]))
+    gone = set(w[36:64] + w[188:])                          # 28 of the 64 least values, 40 of 200
+    rows = [(1, " ".join(w)), (2, " ".join(x for x in w if x not in gone))]
+    a, b = near_dedup.shingle_sets(pa.array([t for _, t in rows]), 1)
+    assert len(b) / len(a) == 0.8 and near_dedup.union_estimate(a[:64], b[:64]) < near_dedup.CORE
+    got = near_dedup.near_dedup(frame(spark, rows), shingle=1, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
+
+
 def test_near_dedup_null_id_stays(spark):
     df = frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(df, shingle=3).collect()), key=str)
