@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiln.llm import alignment, decontaminate, knn, packing, vector_codes
 from kiln.llm import exact_dedup as dedup
-from kiln.llm import knn, packing
 from kiln.llm import language_id as lang
 from kiln.llm import near_dedup as near
 from kiln.llm import quality, segmentation, toxicity
@@ -71,12 +73,74 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_k, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_sampled_segmentation, op8_quality, op9_suffix_dedup, op10_near_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    flat = ",".join(str(x) for b in books for x in b.ravel().tolist())
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error",
+                        F.lit(hashlib.sha256(flat.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read(spark, sf_dir, "documents"), alignment.load_tokenizers())
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_top_k, op3_url_filter, op4_exact_dedup, op5_packing, op6_toxicity, op7_sampled_segmentation, op8_quality, op9_suffix_dedup, op10_near_dedup,
+                                  op11_decontamination, op12_vector_codes, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
+_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Product quantisation round by round, in integers."""
+    near = """(SELECT v.row, v.vec_id, v.label, v.p, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x),
+                      lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+               FROM v JOIN c{r} c USING (p) QUALIFY row_number() OVER (PARTITION BY v.row, v.p ORDER BY dist, c.k) = 1)"""
+    steps = [f"""
+        c{r + 1} AS MATERIALIZED (
+          WITH g AS (SELECT p, k, d, sum(x[d])::BIGINT AS s, count(*)::BIGINT AS n
+                     FROM {near.format(r=r)}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM v))) AS d) GROUP BY p, k, d),
+          m AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY d) AS x FROM g GROUP BY p, k)
+          SELECT c.p, c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m USING (p, k))""" for r in range(rounds)]
+    return f"""
+        WITH kept AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        v AS MATERIALIZED (SELECT row, vec_id, label, p, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] AS x
+                           FROM kept, (SELECT unnest(range({parts})) AS p)),
+        c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x FROM v
+                            WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),{",".join(steps)},
+        z AS (SELECT row, vec_id, label, string_agg(printf('%02x', k::INTEGER), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error
+              FROM {near.format(r=rounds)} GROUP BY row, vec_id, label),
+        b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM z, b"""
+
+
 ORACLE = {
+    "op11_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+        dw AS MATERIALIZED (SELECT row, doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+        bw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
+        win AS MATERIALIZED (
+          SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+          FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+        occ AS MATERIALIZED (
+          SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+          FROM (SELECT row, w, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS i FROM dw, (SELECT DISTINCT n FROM win))),
+        hit AS MATERIALIZED (SELECT row, i, n, item_id FROM occ JOIN win USING (n, g)),
+        words AS (SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS j FROM hit) GROUP BY row),
+        ids AS (SELECT row, count(DISTINCT item_id) AS n_items,
+                       array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY row)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words USING (row) LEFT JOIN ids USING (row)""",
+    "op12_vector_codes": _codes_sql(),
     "op2_top_k": """
         WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
