@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from kiln.llm.helpers import buffers, slices, staged
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 1 << 20            # bytes of text worked on at once
+SLICE = 2 << 20            # bytes of text worked on at once
+RUN = 1 << 14              # bytes of units encoded at once
 PAIR_BLOCK = 2_000_000     # pair counts broadcast at once
-CACHE_UNITS, CACHE_BYTES = 100_000, 64     # distinct units a task remembers, and their longest
 
 
 @dataclass
@@ -78,48 +78,157 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(x): x for x in shown} | {chr(0x100 + i): x for i, x in enumerate(hidden)}
 
 
+# Fixed value: how the byte-level pre-tokenizer cuts words.
+WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_level_engine(a_json: str, ranks: dict[bytes, int]) -> Callable[[list[str]], np.ndarray]:
+    """Texts -> all their ids. If the file's merges make ids in ascending order,
+    merging by rank is the same as merging by list, and the faster engine takes
+    the file's vocabulary as ranks; else the file's own library runs."""
+    spec = json.loads(a_json)
+    vocab, pre = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+             and not spec["model"].get("ignore_merges") and all(x < y for x, y in zip(made, made[1:])) and len(ranks) == len(made) + 256)
+    if plain:
+        import tiktoken
+        engine = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: np.concatenate([np.zeros(0, np.uint32), *[engine.encode_to_numpy(t, disallowed_special=()) for t in texts]])
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    slow = Tokenizer.from_str(a_json)
+    slow.encode_special_tokens = True
+    return lambda texts: np.array([i for e in slow.encode_batch(texts, add_special_tokens=False) for i in e.ids], np.int64)
+
+
 class _Pair:
-    """Loaded tokenizers and the lengths and bytes of their tokens."""
+    """Loaded tokenizers, and the bytes of their tokens."""
 
     def __init__(self, files: Tokenizers):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(files.a_json)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b_model)
         alphabet = _byte_alphabet()
-        special = {t["content"] for t in json.loads(files.a_json).get("added_tokens", [])}
-        n_a, n_b = self.a.get_vocab_size(), self.b.vocab_size()
-        self.a_bytes = [b""] * n_a
-        for piece, i in self.a.get_vocab().items():
-            self.a_bytes[i] = piece.encode() if piece in special else bytes(alphabet[c] for c in piece)
-        self.b_bytes = []
-        for i in range(n_b):
+        spec = json.loads(files.a_json)
+        spelled = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
+        self.encode_a = _byte_level_engine(files.a_json, {v: k for k, v in spelled.items()})
+        a_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b_model)
+        b_bytes = []
+        for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {piece!r} joins words: texts can't be cut into units")
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+            b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.n_b = len(b_bytes)
+        self.bytes = [pa.array(a_bytes, pa.binary()), pa.array(b_bytes, pa.binary())]
+        self.size = [np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes)]
+        self.digits = [np.array([str(i).encode() for i in range(len(t))], "S12") for t in (a_bytes, b_bytes)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [self.encode_a(texts).astype(np.int64), np.array([i for x in b for i in x], np.int64)]
+
+    def _gives_back(self, ids: list[np.ndarray], raw: np.ndarray) -> bool:
+        return all(np.array_equal(buffers_of(t.take(pa.array(i))), raw) for t, i in zip(self.bytes, ids))
+
+    def tokens(self, raw: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """([A ids, B ids], which units come back byte for byte) of the units
+        that end at ``ends``; the others have no ids. Units are encoded in runs
+        of about ``RUN`` bytes that end after a visible character or alone."""
+        start = np.concatenate([[0], ends[:-1]])
+        loose = ~_visible_before(raw, ends)
+        closes = np.flatnonzero(loose | (ends // RUN != start // RUN)) + 1
+        runs = _merged(closes, np.array([0, len(ends)]))
+        spans = [(int(start[i]), int(ends[j - 1])) for i, j in zip(runs[:-1], runs[1:])]
+        ids = self._encode([raw[x:y].tobytes().decode() for x, y in spans])
+        ok = np.ones(len(ends), bool)
+        if not self._gives_back(ids, raw):
+            parts = []
+            for (x, y), i, j in zip(spans, runs[:-1], runs[1:]):
+                own = self._encode([raw[x:y].tobytes().decode()])
+                if self._gives_back(own, raw[x:y]):
+                    parts.append(own)
+                    continue
+                for u in range(i, j):
+                    unit = raw[start[u]:ends[u]]
+                    own = self._encode([unit.tobytes().decode()])
+                    ok[u] = self._gives_back(own, unit)
+                    if ok[u]:
+                        parts.append(own)
+            ids = [np.concatenate([np.zeros(0, np.int64), *[p[side] for p in parts]]) for side in (0, 1)]
+        return ids, ok
+
+    def table(self, units: pa.Array, spell: bool) -> dict:
+        """Per unit: token, group and link counts, ok, the id pairs of its
+        links and (with ``spell``) its groups as text, each with ``;``."""
+        raw, bound = binary_buffers(units)
+        n = len(units)
+        (a, b), ok = self.tokens(raw, bound[1:])
+        a_end, b_end = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
+        unit_end = np.cumsum(np.diff(bound) * ok)
+        a_unit, b_unit = np.searchsorted(unit_end, a_end), np.searchsorted(unit_end, b_end)
+        a_group, b_group = groups_of(a_end, b_end)
+        la, lb = links_of(a_end, b_end)
+        n_links = np.bincount(a_unit[la], minlength=n)
+        closing = b_group == np.arange(len(b))
+        out = {"ok": ok, "n_a": np.bincount(a_unit, minlength=n), "n_b": np.bincount(b_unit, minlength=n),
+               "n_groups": np.bincount(b_unit[closing], minlength=n), "n_links": n_links,
+               "first": np.concatenate([[0], np.cumsum(n_links)]), "pair": a[la] * self.n_b + b[lb]}
+        if spell:
+            out["text"] = self._spelled(a, b, a_group, b_group, closing, out["n_a"] + out["n_b"])
+        return out
+
+    def _spelled(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, closing: np.ndarray, per_unit: np.ndarray) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3;`` per unit, all at once: tokens go to their
+        place in the output, digits and the sign after them into one buffer."""
+        term = np.flatnonzero(closing)
+        ga, gb = np.searchsorted(term, a_group), np.searchsorted(term, b_group)       # group numbers
+        a_upto = np.searchsorted(ga, np.arange(len(term)), side="right")              # A tokens up to and with a group
+        b_before = np.searchsorted(gb, np.arange(len(term)), side="left")
+        at_a, at_b = np.arange(len(a)) + b_before[ga], np.arange(len(b)) + a_upto[gb]
+        word = np.empty(len(a) + len(b), "S12")
+        word[at_a], word[at_b] = self.digits[0][a], self.digits[1][b]
+        sign = np.full(len(word), ord(","), np.uint8)
+        sign[at_a[a_upto - 1]] = ord("|")
+        sign[at_b[term]] = ord(";")
+        chars = np.zeros((len(word), 13), np.uint8)
+        chars[:, :12] = word.view(np.uint8).reshape(-1, 12)
+        length = (chars != 0).sum(1)
+        chars[np.arange(len(word)), length] = sign
+        ends = np.concatenate([[0], np.cumsum(length + 1)])[np.concatenate([[0], np.cumsum(per_unit)])]
+        return pa.Array.from_buffers(pa.binary(), len(per_unit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(chars[chars != 0])])
+
+
+def binary_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array without nulls."""
+    off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
+    data = col.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[off[0]:off[-1]], off - off[0]
 
-    def units(self, raw: list[bytes]) -> list[tuple[list[int], list[int], bool]]:
-        """(A ids, B ids, whether both give the unit back) of units, each of
-        which begins with a space."""
-        text = [u.decode() for u in raw]
-        a = [e.ids for e in self.a.encode_batch(text, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in text], num_threads=1)
-        spell_a, spell_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        return [(x, y, b"".join(map(spell_a, x)) == u == b"".join(map(spell_b, y))) for u, x, y in zip(raw, a, b)]
+
+def buffers_of(col: pa.Array) -> np.ndarray:
+    return binary_buffers(col)[0]
+
+
+def _visible_before(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a visible ASCII character, or a two-byte character from U+00C0
+    on (none of which is white space), ends right before each place."""
+    last, lead = raw[at - 1], raw[np.maximum(at - 2, 0)]
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF) & (at > 1))
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct values of two ascending arrays, ascending."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
 
 
 def _unit_bounds(raw: np.ndarray) -> np.ndarray:
-    """Places of spaces that end a unit: they follow a visible ASCII character,
-    or a two-byte character from U+00C0 on (none of which is white space)."""
+    """Places of spaces that end a unit: they follow a visible character."""
     at = np.flatnonzero(raw == 0x20)
     at = at[at > 0]
-    last = raw[at - 1]
-    ascii_ = (last > 0x20) & (last < 0x7F)
-    lead = raw[np.maximum(at - 2, 0)]
-    return at[ascii_ | ((last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF) & (at > 1))]
+    return at[_visible_before(raw, at)]
 
 
 def groups_of(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,73 +253,10 @@ def groups_of(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
 def links_of(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A token, B token) of all overlaps: one for each stretch between
     neighbouring ends of either side."""
-    end = np.union1d(a_end, b_end)
+    end = _merged(a_end, b_end)
     return np.searchsorted(a_end, end, side="left"), np.searchsorted(b_end, end, side="left")
 
 
-def _ramp(n: np.ndarray) -> np.ndarray:
-    """0..n[0]-1, 0..n[1]-1, ..."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-class _Units:
-    """Alignments of distinct units; short ones are remembered, up to
-    ``CACHE_UNITS``."""
-
-    def __init__(self, pair: _Pair, spell: bool):
-        self.pair, self.spell = pair, spell
-        self.known: dict[bytes, tuple] = {}
-
-    def table(self, raw: list[bytes]) -> dict:
-        """Per unit: token, group and link counts, ok, the pairs of its links
-        and (with ``spell``) its groups as text."""
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        fresh: dict[bytes, tuple] = {}
-        new = [u for u in raw if u not in self.known]
-        for i in range(0, len(new), 4096):
-            fresh.update(zip(new[i:i + 4096], self._aligned(new[i:i + 4096])))
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_BYTES)
-        rows = [fresh.get(u) or self.known[u] for u in raw]
-        n_a, n_b, n_g, ok, pairs, text = zip(*rows) if rows else ((),) * 6
-        n_pairs = np.array([len(p) for p in pairs], np.int64)
-        return {"n_a": np.array(n_a, np.int64), "n_b": np.array(n_b, np.int64), "n_groups": np.array(n_g, np.int64), "ok": np.array(ok, bool),
-                "n_links": n_pairs, "first": np.concatenate([[0], np.cumsum(n_pairs)]), "text": text,
-                "pair": np.concatenate([np.zeros(0, np.int64), *pairs])}
-
-    def _aligned(self, raw: list[bytes]) -> list[tuple]:
-        got = self.pair.units(raw)
-        good = [i for i, x in enumerate(got) if x[2]]
-        a_n = np.array([len(got[i][0]) for i in good], np.int64)
-        b_n = np.array([len(got[i][1]) for i in good], np.int64)
-        a = [t for i in good for t in got[i][0]]
-        b = [t for i in good for t in got[i][1]]
-        a_end = np.cumsum([len(self.pair.a_bytes[t]) for t in a]) if a else np.zeros(0, np.int64)
-        b_end = np.cumsum([len(self.pair.b_bytes[t]) for t in b]) if b else np.zeros(0, np.int64)
-        a_group, b_group = groups_of(a_end, b_end)
-        la, lb = links_of(a_end, b_end)
-        pair = np.array(a, np.int64)[la] * len(self.pair.b_bytes) + np.array(b, np.int64)[lb] if a else np.zeros(0, np.int64)
-        a_at, b_at = np.concatenate([[0], np.cumsum(a_n)]), np.concatenate([[0], np.cumsum(b_n)])
-        link_at = np.searchsorted(la, a_at)
-        n_groups = np.add.reduceat(np.concatenate([np.diff(b_group, prepend=-1) != 0, [False]]), b_at[:-1]) if good else []
-        out: list[tuple] = [(0, 0, 0, False, np.zeros(0, np.int64), "")] * len(raw)
-        for k, i in enumerate(good):
-            text = ""
-            if self.spell:
-                ga, gb = a_group[a_at[k]:a_at[k + 1]], b_group[b_at[k]:b_at[k + 1]]
-                text = _spelled(got[i][0], got[i][1], ga, gb)
-            out[i] = (int(a_n[k]), int(b_n[k]), int(n_groups[k]), True, pair[link_at[k]:link_at[k + 1]], text)
-        return out
-
-
-def _spelled(a: list[int], b: list[int], ga: np.ndarray, gb: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    ca, cb = np.flatnonzero(np.diff(ga)) + 1, np.flatnonzero(np.diff(gb)) + 1
-    ends_a, ends_b = [0, *ca.tolist(), len(a)], [0, *cb.tolist(), len(b)]
-    return ";".join(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m]))
-                    for i, j, k, m in zip(ends_a, ends_a[1:], ends_b, ends_b[1:]))
-
-
 def _runs(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, Iterator]]:
     """Slices of rows, each with its runs of units (``_coded``): one run, or
     several if the slice is a single long text."""
@@ -231,7 +277,7 @@ def _coded(raw: np.ndarray, bound: np.ndarray) -> Iterator[tuple[pa.Array, np.nd
     bound) of runs of about 2 * ``SLICE`` bytes."""
     inner = _unit_bounds(raw)
     inner = inner[~np.isin(inner + 1, bound)]       # B takes no lone space: one at a text's end stays with the unit before
-    cut = np.union1d(inner, bound)
+    cut = _merged(inner, bound)
     cut = cut[cut < len(raw)]
     at, n = 0, len(raw)
     while at < len(cut):
@@ -256,12 +302,11 @@ def pair_counts(docs: DataFrame, files: Tokenizers, text_col: str = "text") -> D
     sent = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _Units(pair := sent.value.open(), spell=False)
-        n_b = len(pair.b_bytes)
+        pair = sent.value.open()
         for b, runs in _runs(batches, "text"):
             keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for words, code, first in runs:
-                t = units.table(words.to_pylist())
+                t = pair.table(words, spell=False)
                 bad = _add(~t["ok"][code], first)
                 if b.num_rows == 1 and bad[0]:           # of a long text in several runs nothing counts then
                     keys, counts = keys[:1], counts[:1]
@@ -271,7 +316,7 @@ def pair_counts(docs: DataFrame, files: Tokenizers, text_col: str = "text") -> D
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
             key, n = key[n > 0], n[n > 0]
-            yield pa.RecordBatch.from_arrays([pa.array((key // n_b).astype(np.int32)), pa.array((key % n_b).astype(np.int32)), pa.array(n)],
+            yield pa.RecordBatch.from_arrays([pa.array((key // pair.n_b).astype(np.int32)), pa.array((key % pair.n_b).astype(np.int32)), pa.array(n)],
                                              names=["a_id", "b_id", "n"])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "a_id int, b_id int, n long")
@@ -302,7 +347,7 @@ def align(docs: DataFrame, files: Tokenizers, counts: DataFrame, id_col: str = "
 
     def work(table, last: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            units = _Units(sent.value.open(), spell=last)
+            pair = sent.value.open()
             key, count, best = table.value
             for b, runs in _runs(batches, "text"):
                 rows = b.num_rows
@@ -310,7 +355,7 @@ def align(docs: DataFrame, files: Tokenizers, counts: DataFrame, id_col: str = "
                 bad = np.zeros(rows, np.int64)
                 digest = [None] * rows
                 for words, code, first in runs:
-                    t = units.table(words.to_pylist())
+                    t = pair.table(words, spell=last)
                     at = np.minimum(np.searchsorted(key, t["pair"]), max(0, len(key) - 1))
                     hit = key[at] == t["pair"] if len(key) else np.zeros(len(t["pair"]), bool)
                     t["n_best"] = _add(hit & best[at] if len(key) else hit, t["first"])
@@ -319,13 +364,14 @@ def align(docs: DataFrame, files: Tokenizers, counts: DataFrame, id_col: str = "
                     for c in out:
                         out[c] += _add(t[c][code], first)
                     if last:
-                        text = t["text"]
+                        raw, at = binary_buffers(t["text"].take(pa.array(code)))
                         for i in np.flatnonzero(np.diff(first)).tolist():
-                            part = ";".join([text[c] for c in code[first[i]:first[i + 1]].tolist()]).encode()
+                            part = raw[at[first[i]]:at[first[i + 1]]]
                             if digest[i] is None:
-                                digest[i] = hashlib.sha256(part)
-                            else:
-                                digest[i].update(b";" + part)
+                                digest[i] = hashlib.sha256(part[:-1])
+                            else:                       # a further run of a long text
+                                digest[i].update(b";")
+                                digest[i].update(part[:-1])
                 for c in out:
                     out[c][bad > 0] = 0
                     if c in ("n_best", "count_sum"):
