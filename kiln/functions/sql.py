@@ -4,15 +4,14 @@
     spark.sql("select kiln_clean_text(title) from products")
 
 Bodies are SQL expressions (SQL user-defined functions, inlined by the
-analyzer, so they stay JVM-side and codegen'd); only ``kiln_format_details``
-calls the registered pandas fallback for rows the native path cannot print.
+analyzer, so they stay JVM-side).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from kiln.functions.text import NON_WS_CLASS, WHITESPACE, WS_CLASS, _details_udf
+from kiln.functions.text import NON_WS_CLASS, WHITESPACE, WS_CLASS, details_sql
 
 
 def _sql_chars(s: str) -> str:
@@ -38,20 +37,6 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     text = ("concat_ws('\\n', " + ", ".join([part("Main category: ", "main_category"), part("Title: ", "title"),
                                               part("Features: ", "features"), part("Description: ", "description"),
                                               part("Details: ", "details")]) + ")")
-    spark.udf.register("kiln_details_py", _details_udf)
-    shape = "schema_of_variant(try_parse_json(coalesce(d, '')))"
-    simple = (f"(startswith({shape}, 'OBJECT<') AND NOT substring({shape}, 8) "
-              f"rlike '(DECIMAL|DOUBLE|FLOAT|BOOLEAN|VOID|ARRAY|OBJECT|VARIANT)')")
-    native = ("array_join(transform(map_entries(from_json(coalesce(d, ''), 'map<string,string>', "
-              "map('allowSingleQuotes', 'false'))), e -> " + _strip("replace(concat(e.key, ': ', e.value), ';', ' ')")
-              + "), ' | ')")
-    maybe_obj = "startswith(trim(LEADING ' \\t\\n\\r' FROM coalesce(d, '')), '{')"
-    # Spark evaluates a Python UDF for every row, whatever CASE branch it
-    # sits in; rows the native path handles pass it a null (no parse).
-    needs_py = (f"{maybe_obj} AND ({shape} IS NULL OR (startswith({shape}, 'OBJECT<') AND NOT {simple}))")
-    details = (f"CASE WHEN coalesce(d, '') = '' THEN '' WHEN NOT {maybe_obj} THEN d WHEN {simple} THEN {native} "
-               f"WHEN {shape} IS NOT NULL AND NOT startswith({shape}, 'OBJECT<') THEN d "
-               f"ELSE kiln_details_py(CASE WHEN {needs_py} THEN d END) END")
     defs = {
         "kiln_strip": f"(s STRING) RETURNS STRING RETURN {_strip('s')}",
         "kiln_scrub": f"(s STRING) RETURNS STRING RETURN {scrub}",
@@ -59,7 +44,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         "kiln_is_missing": f"(s STRING) RETURNS BOOLEAN RETURN coalesce({_strip('s')}, '') = ''",
         "kiln_product_text": ("(main_category STRING, title STRING, features STRING, description STRING, details STRING) "
                               f"RETURNS STRING RETURN {text}"),
-        "kiln_format_details": f"(d STRING) RETURNS STRING RETURN {details}",
+        "kiln_format_details": f"(d STRING) RETURNS STRING RETURN {details_sql('d')}",
     }
     for name, body in defs.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

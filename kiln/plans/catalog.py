@@ -44,6 +44,10 @@ def raw(spark, d) -> DataFrame:
     return view(spark, "raw", d)
 
 
+def raw_whole(spark, d) -> DataFrame:
+    return view(spark, "raw_whole", d)
+
+
 def norm(spark, d) -> DataFrame:
     return normalize.normalize_records(raw(spark, d), hi_res="hi_res", large="large", videos="videos")
 
@@ -149,7 +153,7 @@ def q_n1_field_defaults(spark, d):
 
 
 def q_n2_features_text(spark, d):
-    return raw(spark, d).select("item_id", normalize.features_text("features").alias("features"))
+    return raw_whole(spark, d).select("item_id", normalize.features_text("features").alias("features"))
 
 
 def q_n3_description_text(spark, d):
@@ -171,7 +175,7 @@ def q_n6_details(spark, d):
 
 
 def q_n7_scrub(spark, d):
-    r = raw(spark, d)
+    r = raw_whole(spark, d)
     return r.select("item_id", scrub("main_category").alias("main_category"), scrub("title").alias("title"))
 
 
@@ -222,7 +226,8 @@ def q_f_kept(spark, d):
 
 
 def q_f5_valid_entries(spark, d):
-    v = norm(spark, d).filter(filters.valid_entries_mask())
+    n = normalize.normalize_records(raw_whole(spark, d), hi_res="hi_res", large="large", videos="videos")
+    v = n.filter(filters.valid_entries_mask())
     return v.select("item_id", "title")
 
 

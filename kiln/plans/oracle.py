@@ -28,10 +28,19 @@ def urls(l: str) -> str:
 
 
 def details_text(d: str) -> str:
-    entry = strip(f"""replace(concat(k, ': ', json_extract_string({d}, '$."' || k || '"')), ';', ' ')""")
+    path = """'$."' || k || '"'"""
+    typ, raw = f"json_type(json_extract({d}, {path}))", f"cast(json_extract({d}, {path}) as varchar)"
+    # Nested values of the views hold no quotes, colons or commas in strings.
+    nested = raw
+    for old, new in (('"', "''"), (":", ": "), (",", ", "), ("true", "True"), ("false", "False"), ("null", "None")):
+        nested = f"replace({nested}, '{old}', '{new}')"
+    value = (f"case {typ} when 'NULL' then 'None' when 'BOOLEAN' then upper(left({raw}, 1)) || substr({raw}, 2) when 'OBJECT' then {nested} "
+             f"when 'ARRAY' then {nested} else json_extract_string({d}, {path}) end")
+    entry = strip(f"replace(concat(k, ': ', {value}), ';', ' ')")
+    keys = f"list_filter(json_keys({d}), lambda k, i: list_position(json_keys({d}), k) = i)"
     return (f"case when {d} is null then '' when not json_valid({d}) then {d} "
             f"when json_type({d}) <> 'OBJECT' then {d} "
-            f"else coalesce(array_to_string(list_transform(json_keys({d}), lambda k: {entry}), ' | '), '') end")
+            f"else coalesce(array_to_string(list_transform({keys}, lambda k: {entry}), ' | '), '') end")
 
 
 def features_text(e: str) -> str:
@@ -102,7 +111,7 @@ join quotas using (strat_label)"""
 
 
 def with_views(*names: str, extra: str = "") -> str:
-    base = [n for n in names if n in ("raw", "texts", "predictions", "history", "timings", "manifest", "models", "images")]
+    base = [n for n in names if n in ("raw", "raw_whole", "texts", "predictions", "history", "timings", "manifest", "models", "images")]
     parts = [f"{n} as ({render(n, 'duckdb')})" for n in base]
     derived = {"norm": NORM, "kept": KEPT, "sampled": SAMPLED, "strata": STRATA}
     for n in names:
@@ -248,12 +257,12 @@ ORACLE: dict[str, str] = {
     "S9_history_append": with_views("predictions", extra=weighted_preds() + ",\n" + HISTORY) + """select run_id,
   cast(epoch as bigint) as epoch, round(train_loss, 6) as train_loss, round(val_plcc, 6) as val_plcc from hist""",
     "N1_field_defaults": with_views("raw") + "select item_id, '' as main_category, title, cast(null as double) as average_rating from raw",
-    "N2_features_text": with_views("raw") + f"select item_id, {features_text('features')} as features from raw",
+    "N2_features_text": with_views("raw_whole") + f"select item_id, {features_text('features')} as features from raw_whole",
     "N3_description_text": with_views("raw") + f"select item_id, {description_text('description')} as description from raw",
     "N4_image_urls": with_views("raw") + f"select item_id, {urls('hi_res')} as images_hi_res, {urls('large')} as images_large from raw",
     "N5_video_urls": with_views("raw") + f"select item_id, {urls('videos')} as video_urls from raw",
     "N6_details": with_views("raw") + f"select item_id, {details_text('details')} as details from raw",
-    "N7_scrub": with_views("raw") + f"select item_id, {scrub('main_category')} as main_category, {scrub('title')} as title from raw",
+    "N7_scrub": with_views("raw_whole") + f"select item_id, {scrub('main_category')} as main_category, {scrub('title')} as title from raw_whole",
     "N_normalize": with_views("raw", "norm") + """select item_id, category, main_category, title, features, description,
   images_hi_res, images_large, video_urls, details, round(average_rating, 6) as average_rating,
   cast(rating_number as bigint) as rating_number from norm""",
@@ -271,7 +280,7 @@ ORACLE: dict[str, str] = {
   coalesce(length({strip("concat_ws(' ', title, features, description)")}) > 30, false) as passes from norm""",
     "F4_has_image": with_views("raw", "norm") + f"select item_id, not ({missing('images_hi_res')} and {missing('images_large')}) as has_image_urls from norm",
     "F_kept": with_views(*PREP) + f"select {KEPT_COLS} from kept",
-    "F5_valid_entries": with_views("raw", "norm") + f"select item_id, title from norm where not {missing('title')} "
+    "F5_valid_entries": with_views("raw_whole", extra=f"norm as ({NORM.replace('from raw', 'from raw_whole')})") + f"select item_id, title from norm where not {missing('title')} "
         "and average_rating is not null and not isnan(average_rating)",
     "F6_accounting": with_views("raw", "norm", extra=f"""v as (select *, (not {missing('title')} and average_rating is not null
       and not isnan(average_rating)) as valid,

@@ -38,6 +38,10 @@ select d.doc_id as item_id, d.source as category,
   case when d.doc_id % 3 = 0 then null else {arr}('v1.mp4', '', 'v2.mp4') end as videos,
   case when d.doc_id % 7 = 0 then 'not json' when d.doc_id % 11 = 0 then '[1, 2]'
        when d.doc_id % 13 = 0 then '{{}}' when d.doc_id % 17 = 0 then null
+       when d.doc_id % 9 = 4 then concat('{{"Brand": {{"name": "N', cast(d.doc_id as {str}), '", "tags": [1, true, null, "t", [], {{}}]}}, "weight": ',
+            cast(d.doc_id % 7 as {str}), '.5, "ok": ', case when d.doc_id % 2 = 0 then 'true' else 'false' end, ', "none": null, "list": [[', cast(d.doc_id as {str}), ']]}}')
+       when d.doc_id % 9 = 5 then '{{"A": 1, "B": "x;y", "A": 1}}'
+       when d.doc_id % 9 = 6 then '{{"A": 1, "B": [true}}'
        else concat('{{"Brand": "B;', cast(d.doc_id % 25 as {str}), '", "Size": ', cast(d.doc_id % 9 as {str}), ', "A": "x"}}') end as details
 from {t_documents} d""",
     "texts": """
@@ -85,6 +89,10 @@ select concat('img/', cast(doc_id as {str}), '_l.png') as origin,
 from {t_documents}""",
 }
 
+# The records with whole texts as title and as feature entries.
+VIEWS["raw_whole"] = (VIEWS["raw"].replace("concat(substr(d.text, 1, 40), chr(9), 'T', chr(13))", "concat(d.text, chr(9), 'T', chr(13))")
+                      .replace("{arr}(substr(d.text, 1, 30), null, 'a|b ', substr(d.text, 31, 30))", "{arr}(d.text, null, 'a|b ', d.text)"))
+
 
 def render(view: str, dialect: str, sf_dir: str | None = None) -> str:
     """SQL text of ``view`` for ``dialect`` ('spark' or 'duckdb')."""
