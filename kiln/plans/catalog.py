@@ -22,6 +22,7 @@ from kiln.operators import cleaning, efficiency, evaluation, filters, images, no
 from kiln.operators import sampling, scoring, splits, text_features, weights
 from kiln.session import scratch_path
 from kiln.sources import csv as csv_src
+from kiln.sources import images as image_src
 from kiln.sources import metadata, reports, stage
 from kiln.sources.fixtures import table, view
 
@@ -126,6 +127,21 @@ def q_s6_cached_stage(spark, d):
     return t2.select("item_id", "category", "title")
 
 
+def q_s7_image_dir(spark, d):
+    """PNG files of the derived images are written and scanned again: some
+    rows have no file, some files are not images; every row stays."""
+    path = F.concat(F.lit("d"), (F.col("vec_id") % 3).cast("string"), F.lit("/v+ "), F.col("vec_id").cast("string"), F.lit(".png"))
+    files = image_src.with_png(_vector_images(spark, d)).select(
+        "vec_id", path.alias("image_path"),
+        F.when(F.col("vec_id") % 17 == 5, F.lit(b"not an image")).otherwise(F.col("png")).alias("png"))
+    root = scratch_path(spark, "s7-images")
+    image_src.write_files(files, root, "image_path")
+    joined = image_src.join_images(files.select("vec_id", "image_path"), image_src.read_image_dir(spark, root))
+    return joined.select("vec_id", "image_path", F.col("image").isNotNull().alias("decoded"),
+                         F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                         F.col("image.nChannels").alias("channels"), F.md5(F.hex("image.data")).alias("pixels_md5"))
+
+
 def q_s8_json_report(spark, d):
     rep = runtime.runtime_report(timings(spark, d), WARMUP, CAP)
     path = scratch_path(spark, "runtime-json")
@@ -389,12 +405,14 @@ def q_i5_has_images(spark, d):
 def _vector_images(spark, d):
     """Spark image structs derived from ``embeddings``: pixel bytes are the
     vector values scaled to 0..255 (cycled to fill the raster); layouts
-    rotate through grey, BGR and BGRA; some rasters are under 10 px and some
-    rows have no image, so every I6/I7 branch runs."""
+    rotate through grey, BGR and BGRA; some rasters are under 10 px, some are
+    larger than the target on one or both sides, and some rows have no image,
+    so every I6/I7 branch runs."""
     e = table(spark, "embeddings", d)
     ch = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("label") % 3 + 1).cast("int"))
-    h = (10 + F.col("vec_id") % 7).cast("int")
-    w = F.when(F.col("vec_id") % 13 == 0, F.lit(9)).otherwise(12 + F.col("vec_id") % 5).cast("int")
+    big, tall = F.col("vec_id") % 20 == 3, F.col("vec_id") % 20 == 4
+    h = F.when(big, 230 + F.col("vec_id") % 90).when(tall, F.lit(300)).otherwise(10 + F.col("vec_id") % 7).cast("int")
+    w = (F.when(F.col("vec_id") % 13 == 0, F.lit(9)).when(big, 240 + F.col("vec_id") % 320).otherwise(12 + F.col("vec_id") % 5)).cast("int")
     byte = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1.0) * 127.5))).cast("int")
     hex64 = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), "")
     n = h * w * ch
@@ -702,6 +720,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S3_S5_csv_keep_empty": q_s3_s5_csv_keep_empty,
     "S4_csv_default_na": q_s4_csv_default_na,
     "S6_cached_stage": q_s6_cached_stage,
+    "S7_image_dir": q_s7_image_dir,
     "S8_json_report": q_s8_json_report,
     "S9_history_append": q_s9_history_append,
     "N1_field_defaults": q_n1_field_defaults,

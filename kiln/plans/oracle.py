@@ -128,6 +128,34 @@ def with_views(*names: str, extra: str = "") -> str:
 
 PREP = ("raw", "norm", "kept")
 
+# Antialiased resize of three probe pixels (top left, centre, bottom right):
+# integer weights under a triangle, along the rows, then along the columns,
+# rounded to 8 bits each time; pixel bytes cycle through the vector's values.
+RASTERS = f"""with img as (
+  select vec_id, case when vec_id % 20 = 3 then 230 + vec_id % 90 when vec_id % 20 = 4 then 300 else 10 + vec_id % 7 end as h,
+    case when vec_id % 13 = 0 then 9 when vec_id % 20 = 3 then 240 + vec_id % 320 else 12 + vec_id % 5 end as w,
+    [1, 3, 4][label % 3 + 1] as ch,
+    list_transform(embedding, lambda x: least(255, greatest(0, floor((cast(x as double) + 1.0) * 127.5)))) as px from embeddings),
+use as (select * from img where vec_id % 11 <> 0 and w >= 10 and h >= 10),
+probe(name, o) as (values ('tl', 0), ('c', 111), ('br', 223)),
+lens as (select distinct n from (select h as n from use union select w from use)),
+axis as (select n, o, (o + 0.5) * (n / 224.0::double) as centre, greatest(n / 224.0::double, 1.0) as reach from lens, probe),
+taps as (select n, o, x, greatest(0, 1 - abs((x - centre + 0.5) / reach)) as k from (
+  select *, unnest(range(cast(greatest(0, floor(centre - reach + 0.5)) as bigint), cast(least(n, floor(centre + reach + 0.5)) as bigint))) as x from axis)),
+wt as (select n, o, x, cast(floor(0.5 + k / sum(k) over (partition by n, o) * 4194304) as bigint) as k from taps),
+flat as (select u.vec_id, name, c, ty.x as y, ty.k as ky,
+    least(255, greatest(0, floor((sum(tx.k * px[((ty.x * w + tx.x) * ch + case when ch = 1 then 0 else c end) % 64 + 1]) + 2097152) / 4194304))) as v
+  from use u, probe p, (select unnest([0, 1, 2]) as c), wt ty, wt tx
+  where ty.n = u.h and ty.o = p.o and tx.n = u.w and tx.o = p.o group by all),
+done as (select vec_id, name, c, least(255, greatest(0, floor((sum(ky * v) + 2097152) / 4194304))) as v from flat group by all),
+every as (select vec_id, name, c from img, probe, (select unnest([0, 1, 2]) as c)),
+val as (select e.vec_id, [('b', 0.406, 0.225), ('g', 0.456, 0.224), ('r', 0.485, 0.229)][e.c + 1] as s, e.name,
+    coalesce(v, 0) / 255.0::double as v from every e left join done d on d.vec_id = e.vec_id and d.name = e.name and d.c = e.c),
+out as (select vec_id, s[1] || '_' || name as col, round(cast(cast((v - s[2]::double) / s[3]::double as float) as double), 6) as v from val)
+select vec_id, cast(150528 as bigint) as n_values,
+{", ".join(f"max(v) filter (col = '{c}_{n}') as {c}_{n}" for c in "rgb" for n in ("tl", "c", "br"))}
+from out group by vec_id"""
+
 
 def r6(e: str) -> str:
     return f"round(cast({e} as double), 6)"
@@ -252,6 +280,16 @@ ORACLE: dict[str, str] = {
   {_na('images_hi_res')} as images_hi_res, {_na('images_large')} as images_large, {_na('video_urls')} as video_urls,
   round(average_rating, 6) as average_rating, cast(rating_number as bigint) as rating_number from kept""",
     "S6_cached_stage": with_views(*PREP) + "select item_id, category, title from kept",
+    "S7_image_dir": """with img as (
+  select vec_id, 'd' || (vec_id % 3) || '/v+ ' || vec_id || '.png' as image_path, vec_id % 11 <> 0 and vec_id % 17 <> 5 as decoded,
+    cast(case when vec_id % 20 = 3 then 230 + vec_id % 90 when vec_id % 20 = 4 then 300 else 10 + vec_id % 7 end as integer) as h,
+    cast(case when vec_id % 13 = 0 then 9 when vec_id % 20 = 3 then 240 + vec_id % 320 else 12 + vec_id % 5 end as integer) as w,
+    [1, 3, 4][label % 3 + 1] as ch,
+    array_to_string(list_transform(embedding, lambda x: printf('%02X', cast(least(255, greatest(0, floor((cast(x as double) + 1.0) * 127.5))) as integer))), '') as hex64
+  from embeddings)
+select vec_id, image_path, decoded, case when decoded then h end as height, case when decoded then w end as width,
+  case when decoded then ch end as channels, case when decoded then md5(left(repeat(hex64, h * w * ch // 64 + 1), 2 * h * w * ch)) end as pixels_md5
+from img""",
     "S8_json_report": with_views("timings", extra=REPORT) + """select run_id, measured_batches, num_samples,
   round(end_to_end_seconds, 6) as end_to_end_seconds from rep""",
     "S9_history_append": with_views("predictions", extra=weighted_preds() + ",\n" + HISTORY) + """select run_id,
@@ -351,6 +389,7 @@ select batch_id, cast(n_samples as bigint) as samples, cast(tokens as bigint) as
     "I4_valid_size": with_views("images") + "select origin, width >= 10 and height >= 10 as valid from images",
     "I5_has_images": with_views(*PREP, "images", extra=ATTACH) +
         "select item_id, case when has_images then 1.0 else 0.0 end as has_images from att",
+    "I6_I7_rasters": RASTERS,
     "W1_mean_log_count": with_views(*PREP, "strata", "quotas", "split") +
         "select round(avg(ln(1 + coalesce(cast(rating_number as double), 0))), 6) as mean_log_count from split where split = 'train'",
     "W2_weights": with_views(*PREP, "strata", "quotas", "split") + """, wm as (select avg(ln(1 + coalesce(cast(rating_number as double), 0))) as ml
