@@ -1,7 +1,9 @@
 """CSV round trips, stage cache, JSON report and history append."""
 
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +72,62 @@ def test_partitioned_source(spark, tmpdir_path):
     u = metadata.union_sources({"A": spark.createDataFrame([("x",)], "title string"),
                                 "B": spark.createDataFrame([("y", 2.0)], "title string, average_rating double")})
     assert sorted((r.category, r.category_order) for r in u.collect()) == [("A", 1), ("B", 2)]
+
+
+def _csv_dir(root, files):
+    import csv
+    os.makedirs(root)
+    for name, rows in files.items():
+        with open(os.path.join(root, name), "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["item_id", "other", "title"])
+            w.writerows(rows)
+    return root
+
+
+TITLED = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("title", T.StringType())])
+
+
+@pytest.fixture()
+def split_size(spark):
+    yield lambda n: (spark.conf.set("spark.sql.files.maxPartitionBytes", str(n)), spark.conf.set("spark.sql.files.openCostInBytes", "1"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_csv_is_the_same_in_any_number_of_splits(spark, tmpdir_path, split_size):
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice('ab ,\n"\ré;') for _ in range(rng.randrange(40)))
+    rows = [[i, text(), text()] for i in range(1500)]
+    rows[300][2] = 'line "q"\n' * 800                # one record longer than many splits
+    rows[301][1] = ""
+    rows[302][2] = "\n\n\n"
+    root = _csv_dir(os.path.join(tmpdir_path, "q"), {"a.csv": rows[:900], "b.csv": rows[900:], "empty.csv": []})
+    size = sum(os.path.getsize(os.path.join(root, f)) for f in os.listdir(root))
+    want = [(i, c) for i, _, c in rows]
+    seen = set()
+    for n in (1, 16, 200):
+        split_size(size // n + 1)
+        df = csv_src.read_csv_keep_empty(spark, root, TITLED)
+        seen.add(spark.read.text(root).rdd.getNumPartitions())
+        assert sorted(tuple(r) for r in df.collect()) == want
+    assert len(seen) == 3 and max(seen) > 100
+
+
+def test_csv_plan_reads_splits_and_shuffles_only_parts(spark, tmpdir_path):
+    root = _csv_dir(os.path.join(tmpdir_path, "p"), {"a.csv": [[1, "x", "y"]]})
+    plan = csv_src.read_csv_keep_empty(spark, root, TITLED)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "FileScan csv" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_csv_blank_lines_crlf_and_malformed_records(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "m")
+    os.makedirs(root)
+    with open(os.path.join(root, "f.csv"), "wb") as f:
+        f.write(b'title,item_id\r\n"a\r\nb",1\r\n\r\nc\r\n"d ""e""",2\r\nf,3,4\r\n,5')
+    rows = sorted(((r.item_id, r.title) for r in csv_src.read_csv_keep_empty(spark, root, TITLED).collect()), key=repr)
+    assert rows == [(1, "a\r\nb"), (2, 'd "e"'), (3, "f"), (5, ""), (None, "c")]
+    assert sorted(r.text for r in csv_src.malformed_records(spark, root, TITLED).collect()) == ["c", "f,3,4"]
+    with pytest.raises(ValueError, match="no column other"):
+        csv_src.read_csv_keep_empty(spark, root, T.StructType([T.StructField("other", T.StringType())]))
