@@ -70,7 +70,6 @@ PATH_SEPARATOR = ";"
 
 # Reserved token ids of the corpus vocabulary.
 PAD_ID, UNK_ID, START_ID, END_ID = 0, 1, 2, 3
-VOCAB_CAP = 30522
 
 # Efficiency scoring constants.
 REF_IMAGE_FLOPS = 390e6

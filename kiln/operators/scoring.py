@@ -75,7 +75,7 @@ def head_forward(x: np.ndarray, p: dict) -> np.ndarray:
 
 def score(df: DataFrame, params: dict, feat_col: str = "features", id_cols=("id",),
           out: str = "score") -> DataFrame:
-    """M3: score every row's fused vector with the head. Weights travel as a
+    """M3: score every row's fused vector with the head; a row without one gets a null score. Weights travel as a
     broadcast variable; each Arrow batch is one matrix product chain."""
     sc = df.sparkSession.sparkContext
     bw = sc.broadcast(params)
@@ -86,9 +86,12 @@ def score(df: DataFrame, params: dict, feat_col: str = "features", id_cols=("id"
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf[feat_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+            have = pdf[feat_col].notna().to_numpy()
+            s = np.full(len(pdf), np.nan)                     # null without features
+            if have.any():
+                s[have] = head_forward(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[feat_col][have]]), p)
             res = pdf[id_cols].copy()
-            res[out] = head_forward(x, p)
+            res[out] = s
             yield res
 
     fields = [df.schema[c] for c in id_cols] + [T.StructField(out, T.DoubleType())]
@@ -99,11 +102,12 @@ def submission(scored: DataFrame, params_total: int, flops: float, id_col: str =
                score_col: str = "score") -> DataFrame:
     """M4 + M5: clamp to [1, 5]; score printed with two decimals (rounded
     half-even on the float32 value, as Python prints it), parameters in
-    millions and cost in GFLOPs with one decimal, constant per run."""
+    millions and cost in GFLOPs with one decimal, constant per run. A null score
+    stays null."""
     s = clamp_score(F.col(score_col).cast("float").cast("double"))
     return scored.select(
         F.col(id_col).cast("string").alias("item_id"),
-        F.format_string("%.2f", F.bround(s, 2)).alias("score"),
+        F.when(s.isNotNull(), F.format_string("%.2f", F.bround(s, 2))).alias("score"),
         F.lit(f"{params_total / 1e6:.1f}").alias("params"),
         F.lit(f"{flops / 1e9:.1f}").alias("flops"))
 
@@ -218,9 +222,9 @@ def predict_per_group(df: DataFrame, fits: DataFrame, group_col: str, feat_col:
     """Apply per-group linear fits (``group_col, coef, intercept``) as a
     column expression. The fit table has one row per group; it is
     checkpointed and broadcast under a row bound, else shuffle-joined.
-    Rows of groups without a fit are dropped (inner join)."""
+    Rows of groups without a fit stay, with a null prediction."""
     f = bounded_broadcast(fits.select(group_col, F.col("coef").alias("__coef"),
                                       F.col("intercept").alias("__icpt")), materialized=materialized)
     dot = F.aggregate(F.zip_with(F.col(feat_col), F.col("__coef"), lambda a, b: a.cast("double") * b),
                       F.lit(0.0), lambda acc, v: acc + v)
-    return df.join(f, group_col, "inner").withColumn(out, dot + F.col("__icpt")).drop("__coef", "__icpt")
+    return df.join(f, group_col, "left").withColumn(out, dot + F.col("__icpt")).drop("__coef", "__icpt")

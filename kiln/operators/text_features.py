@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.config import END_ID, PAD_ID, START_ID, UNK_ID, VOCAB_CAP
+from kiln.config import END_ID, PAD_ID, START_ID, UNK_ID
 from kiln.functions.text import product_text
 from kiln.operators.indexing import with_row_index
-from kiln.operators.joins import materialize
+from kiln.operators.joins import stage_parquet
 from kiln.operators.partitioning import spread
 
 # Word, number, or single other non-space character, on lower-cased text.
@@ -31,48 +36,73 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 2,
-                     cap: int = VOCAB_CAP) -> DataFrame:
-    """Corpus vocabulary: tokens seen at least ``min_count`` times, most
-    frequent first (ties by token), cut to ``cap`` ids including the four
-    reserved ones. Counting is a partial aggregate (hot tokens combine
-    map-side) and is checkpointed once; the cut is a top-k behind an exact
-    count threshold, so the result is bounded by ``cap``."""
-    k = cap - 4
-    counts = materialize(spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
-                         .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-                         .filter(F.col("cnt") >= min_count))
-    # Exact cut count: the count of the k-th most frequent token, from the
-    # count-of-counts table (one row per distinct count value, small). Only
-    # tokens at or above it reach the top-k, so its final task sees about k
-    # rows plus ties instead of k rows from every partition.
-    per_count = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("m"))
-    wc = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = (per_count.withColumn("__cum", F.sum("m").over(wc)).filter(F.col("__cum") >= k)
-           .agg(F.max("cnt")).scalar())
-    kept = counts.filter(F.col("cnt") >= F.coalesce(cut, F.lit(min_count)))
-    top = kept.orderBy(F.desc("cnt"), "token").limit(k)
-    w = Window.orderBy(F.desc("cnt"), "token")
-    return top.select("token", "cnt", (F.row_number().over(w) + 3).cast("int").alias("token_id"))
+VOCAB_BLOCK = 1_000_000      # vocabulary entries broadcast at once
+
+
+def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, cap: int | None = None) -> DataFrame:
+    """T4: corpus vocabulary (token, cnt, token_id): every token seen at least
+    ``min_count`` times, numbered from 4 on (ids 0-3 are reserved) by count,
+    most frequent first, ties by token. Counting is a partial aggregate (hot
+    tokens combine map-side); ids come from a range partition on (count, token)
+    with per-partition offsets, so no task sees the whole vocabulary. ``cap``
+    keeps the first ``cap`` ids, the reserved ones included."""
+    counts = (spread(df.select(text_col)).select(F.explode(tokens(F.col(text_col))).alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= min_count)
+              .withColumn("neg_cnt", -F.col("cnt")))
+    ids = with_row_index(counts, ["neg_cnt", "token"], "row_idx").select("token", "cnt", (F.col("row_idx") + 4).cast("int").alias("token_id"))
+    return ids if cap is None else ids.filter(F.col("token_id") < cap)
+
+
+def with_token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length: int = 256, out: str = "input_ids",
+                   block: int = VOCAB_BLOCK) -> DataFrame:
+    """T4: ``df`` with ``[START] + ids + [END]`` of its text, at most
+    ``max_length`` in total; unknown tokens get UNK, null texts have none.
+
+    The token array of a row stays an array: a task looks up all tokens of a
+    batch at once in an Arrow dictionary of at most ``block`` vocabulary entries
+    sorted by token, the most frequent ids first. What is broadcast is bounded
+    by ``block``; a larger vocabulary takes another pass for each further range
+    of ids, which fills in what is still unknown."""
+    spark = df.sparkSession
+    low, high = vocab.agg(F.min("token_id"), F.max("token_id")).first()
+    ranges = [(x, x + block) for x in range(low, high + 1, block)] if low is not None else [(0, 0)]
+    known = F.slice(tokens(F.col(text_col)), 1, max_length - 2)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    src = df.select(F.struct(*cols).alias("row"), F.coalesce(known, F.array().cast("array<string>")).alias("token"), F.lit(None).cast("array<int>").alias("ids"))
+    schema = src.schema
+
+    def work(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, numbers = sent.value
+            for b in batches:
+                token, ids = b.column("token"), b.column("ids")
+                flat = token.flatten()
+                at = pc.index_in(flat, value_set=words)
+                got = pc.fill_null(numbers.take(at), UNK_ID)
+                before = ids.flatten()
+                if len(before):
+                    got = pc.if_else(pc.equal(before, UNK_ID), got, before)
+                off = np.asarray(token.offsets)
+                filled = pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), got.cast(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("row"), token, filled], names=["row", "token", "ids"])
+        return run
+
+    for k, (a, z) in enumerate(ranges):
+        part = vocab.filter(F.col("token_id").between(a, z - 1)).select("token", "token_id").toArrow().sort_by("token").combine_chunks()
+        words, numbers = (part[c].combine_chunks() for c in ("token", "token_id"))
+        src = src.mapInArrow(work(spark.sparkContext.broadcast((words, numbers))), schema)
+        if k + 1 < len(ranges):
+            src = stage_parquet(src, "token-ids")
+    body = F.concat(F.array(F.lit(START_ID)), F.col("ids"), F.array(F.lit(END_ID)))
+    return src.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], body.alias(out))
 
 
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "item_id", text_col: str = "text",
            max_length: int = 256, out: str = "input_ids") -> DataFrame:
-    """T4: ``[START] + ids + [END]`` truncated to ``max_length`` in total;
-    unknown tokens map to UNK. Returns (``id_col``, ``out``), one row per
-    input row (rows without tokens get ``[START, END]``).
-
-    Truncation happens before the explode; the vocabulary is bounded by its
-    cap, so it is broadcast; the regroup shuffles only (id, pos, token id)."""
-    body = max_length - 2
-    ex = spread(df.select(id_col, text_col)).select(
-        id_col, F.posexplode_outer(F.slice(tokens(F.col(text_col)), 1, body)).alias("pos", "token"))
-    j = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    ids = (j.groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
-                F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))))).alias("__s")))
-    return ids.select(id_col, F.concat(F.array(F.lit(START_ID)), F.transform("__s", lambda s: s["tid"]),
-                                       F.array(F.lit(END_ID))).alias(out))
+    """T4: (``id_col``, ``out``), one row per input row, rows of equal id
+    included (``with_token_ids``)."""
+    ids = df.select(F.col(id_col), F.col(text_col).alias("enc_text"))
+    return with_token_ids(spread(ids), vocab, "enc_text", max_length, out).select(id_col, out)
 
 
 def batch_index(df: DataFrame, order_cols, batch_size: int = 32) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators import images, scoring, text_features
+from kiln.operators.joins import stage_parquet
 from kiln.sources import csv as csv_src
 from kiln.sources.images import read_image_dir
 
@@ -29,16 +30,18 @@ def inference_rows(spark: SparkSession, input_csv: str, images_dir: str, k: int
 
 def generate_submission(spark: SparkSession, input_csv: str, images_dir: str, vectors: DataFrame,
                         head: dict, flops: float, out_csv: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``vectors``: (item_id, image_vec, text_vec) produced by the encoders.
-    Returns (submission, summary)."""
+    """``vectors``: (item_id, image_vec, text_vec) produced by the encoders,
+    one row per item at most. Returns (submission, summary): one submission row
+    per input row, with a null score where no vector is stored. The inputs are
+    scored once, and the summary's seconds cover that job."""
     t0 = time.perf_counter()
     rows = inference_rows(spark, input_csv, images_dir)
-    x = rows.select("item_id", "has_images").join(vectors, "item_id")
+    x = rows.select("item_id", "has_images").join(vectors, "item_id", "left")
     fused = x.select("item_id", scoring.fuse(scoring.gate_image_features("image_vec", "has_images"),
                                              F.col("text_vec")).alias("features"))
-    scored = scoring.score(fused, head, "features", ["item_id"])
+    scored = stage_parquet(scoring.score(fused, head, "features", ["item_id"]), "scored")
+    seconds = time.perf_counter() - t0
     sub = scoring.submission(scored, scoring.head_param_count(head), flops)
     if out_csv:
         csv_src.write_csv(sub, out_csv, mode="overwrite")
-    summary = scoring.submission_summary(scored, time.perf_counter() - t0)
-    return sub, summary
+    return sub, scoring.submission_summary(scored, seconds)

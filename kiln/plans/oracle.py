@@ -167,11 +167,13 @@ def size(e: str) -> str:
 
 TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
+DOC_LEN = f"""select doc_id, lang, cast(least(coalesce(len(regexp_extract_all(lower(text), '{TOKEN_PATTERN}')), 0) + 2, {MAX_LEN}) as bigint) as L
+  from documents"""
+
 TOKENS = f"""toks as (select doc_id, unnest(tk) as token, generate_subscripts(tk, 1) - 1 as pos
   from (select doc_id, regexp_extract_all(lower(text), '{TOKEN_PATTERN}') as tk from documents)),
 vocab as (select token, cnt, cast(row_number() over (order by cnt desc, token) + 3 as integer) as token_id
-  from (select token, count(*) as cnt from toks group by token having count(*) >= 2
-        order by cnt desc, token limit 30518)),
+  from (select token, count(*) as cnt from toks group by token)),
 enc as (select d.doc_id, 2 + count(t.pos) as n_ids,
   '2' || coalesce(string_agg(' ' || cast(coalesce(v.token_id, 1) as varchar), '' order by t.pos), '') || ' 3' as ids
   from documents d left join toks t on t.doc_id = d.doc_id and t.pos < {MAX_LEN - 2}
@@ -360,11 +362,11 @@ u as (select item_id, 0 as pos, 'title' as "column", title as before, c_title as
   case when not {missing('features')} then 'Features: ' || features end,
   case when not {missing('description')} then 'Description: ' || description end,
   case when not {missing('details')} then 'Details: ' || details end) as text from sampled""",
-    "T2_sample_text": with_views(*PREP) + f"""select item_id, concat_ws(chr(10),
+    "T2_sample_text": with_views(*PREP, extra=f"na as (select item_id, {', '.join(f'{_na(c)} as {c}' for c in ('main_category', 'title', 'features', 'description'))} from kept)") + f"""select item_id, concat_ws(chr(10),
   case when not {missing("main_category")} then 'Main category: ' || main_category end,
   case when not {missing('title')} then 'Title: ' || title end,
   case when not {missing('features')} then 'Features: ' || features end,
-  case when not {missing('description')} then 'Description: ' || description end) as text from kept""",
+  case when not {missing('description')} then 'Description: ' || description end) as text from na""",
     "T3_text_stats": with_views(*PREP, "sampled", extra=f"""tx as (select concat_ws(chr(10),
   case when not {missing("category")} then 'Main category: ' || category end,
   case when not {missing('title')} then 'Title: ' || title end,
@@ -452,10 +454,10 @@ from embeddings""",
   cast(sum(list_product(shape)) - coalesce(sum(case when trainable then list_product(shape) end), 0) as bigint) as frozen_params
   from manifest group by model""",
     "E2_block_flops": f"""select doc_id, L, {block_flops('L')} as block_flops from
-  (select doc_id, cast(least(ceil(n_chars / 4), 256) as bigint) as L from documents)""",
+  ({DOC_LEN})""",
     "E3_image_flops": with_views("images") + "select origin, round(390000000.0 * (cast(height as double) * cast(width as double)) / 50176.0, 6) as image_flops from images",
     "E4_dataset_flops": f"""select lang, count(*) as docs, sum({model_flops('L', 'doc_id % 2 = 0')}) as total_flops from
-  (select doc_id, lang, cast(least(ceil(n_chars / 4), 256) as bigint) as L from documents) group by lang""",
+  ({DOC_LEN}) group by lang""",
     "E5_resource_cost": with_views("models") + f"select model, round({resource_cost('params', 'flops')}, 6) as resource_cost from models",
     "E6_efficiency_factor": with_views("models") + f"select model, round({eff(resource_cost('params', 'flops'))}, 6) as efficiency_factor from models",
     "E7_ces": with_views("models") + f"select model, round(greatest(0.0, plcc) * {eff(resource_cost('params', 'flops'))}, 6) as ces from models",
@@ -480,6 +482,20 @@ r2 as (select *, {resource_cost('total_params', 'flops')} as c from r)""") + f""
     "R5_rates_model_scope": with_views("timings", extra=REPORT) + """select run_id,
   round(model_seconds / num_samples * 1000.0, 6) as latency_ms_per_sample,
   round(num_samples / model_seconds, 6) as throughput_samples_per_sec from rep""",
+    "R6_rejected_runs": with_views("timings", extra="""g as (select *, case when run_id % 10 = 3 then 0 else batch_size end as n from timings),
+r as (select run_id, count(*) filter (batch_idx >= 70) as measured_batches, sum(n) filter (batch_idx >= 70) as num_samples,
+  (max(end_us) filter (batch_idx >= 70) - min(start_us) filter (batch_idx >= 70)) / 1e6 as e2e, sum(tokens) filter (batch_idx >= 70) as tokens
+  from g group by run_id),
+x as (select *, case when measured_batches = 0 then 'no measured batch' when num_samples = 0 then 'no sample' end as reason from r)""") + """
+select run_id, measured_batches, cast(coalesce(num_samples, 0) as bigint) as num_samples, reason from x where reason is not null""",
+    "R6_checked_report": with_views("timings", extra="""g as (select *, case when run_id % 10 = 3 then 0 else batch_size end as n from timings),
+r as (select run_id, count(*) filter (batch_idx >= 70) as measured_batches, sum(n) filter (batch_idx >= 70) as num_samples,
+  (max(end_us) filter (batch_idx >= 70) - min(start_us) filter (batch_idx >= 70)) / 1e6 as e2e, sum(tokens) filter (batch_idx >= 70) as tokens
+  from g group by run_id),
+x as (select *, case when measured_batches = 0 then 'no measured batch' when num_samples = 0 then 'no sample' end as reason from r)""") + """
+select run_id, measured_batches, cast(num_samples as bigint) as num_samples, reason, round(e2e, 6) as end_to_end_seconds,
+  case when num_samples > 0 then round(e2e / num_samples * 1000, 6) end as latency_ms_per_sample,
+  case when num_samples > 0 then round(tokens / num_samples, 6) end as avg_input_tokens_per_sample from x""",
     "R7_peak_memory": with_views("timings", extra=REPORT) + """select run_id, device, round(peak_alloc_mib, 6) as peak_alloc_mib,
   round(peak_reserved_mib, 6) as peak_reserved_mib from rep""",
 }

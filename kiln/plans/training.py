@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from kiln.config import SplitConfig, TrainConfig
 from kiln.operators import evaluation, images, splits, text_features, weights
-from kiln.operators.indexing import with_row_index
+from kiln.sources.csv import default_na
 
 
 def training_table(cleaned: DataFrame, image_table: DataFrame | None = None,
                    split_cfg: SplitConfig = SplitConfig(), train_cfg: TrainConfig = TrainConfig()) -> DataFrame:
+    """Split, weights, text, images and labels of every cleaned record. The
+    cleaned file is read with the default-NA dialect here: its 19 tokens (a
+    product titled ``NA``) become null before anything else sees them."""
+    cleaned = default_na(cleaned)
     # ``cleaned`` is the parquet stage table, so the split need not stage it again.
     s = splits.rare_stratified_split(cleaned, "average_rating", split_cfg.rare_threshold,
                                      seed=split_cfg.seed, test_size=split_cfg.test_size, stage=False)
@@ -36,8 +40,7 @@ def epoch_batches(table: DataFrame, vocab: DataFrame, epoch: int, split: str = "
     """Batches of one split for one epoch: the training split in its seeded
     per-epoch order, other splits in id order."""
     rows = table.filter(F.col("split") == split)
-    enc = text_features.encode(rows, vocab, "item_id", "question", cfg.max_length)
-    x = rows.select("item_id", "label", "weight").join(enc, "item_id")
+    x = text_features.with_token_ids(rows.select("item_id", "label", "weight", "question"), vocab, "question", cfg.max_length).drop("question")
     if split == "train":
         x = splits.shuffle_rows(x.withColumn("split", F.lit("train")), epoch, seed=cfg.seed)
         order = ["shuffle_key", "item_id"]
@@ -51,7 +54,3 @@ def history_report(predictions: DataFrame, lr: DataFrame | None = None, patience
     """Epoch history and the best/stop summary per run."""
     h = evaluation.epoch_history(predictions, lr)
     return h, evaluation.best_and_stop(h, "val_plcc", patience)
-
-
-def with_row_order(df: DataFrame, order_cols, out: str = "row_ord") -> DataFrame:
-    return with_row_index(df, order_cols, out)

@@ -175,6 +175,13 @@ def na_to_null(c):
     return F.when(c.isNull() | c.isin(*NA_TOKENS), F.lit(None)).otherwise(c)
 
 
+def default_na(df: DataFrame) -> DataFrame:
+    """The default-NA rule on every string column of a table that was stored
+    with its empty strings kept."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: na_to_null(F.col(f"`{c}`")) for c in text})
+
+
 def read_csv_default_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """As a default pandas read -- the 19 NA tokens become null, before
     casting to the declared types."""

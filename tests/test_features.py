@@ -1,6 +1,7 @@
 """Tokens, batches, weights, image references, image files and rasters."""
 
 import os
+import re
 import struct
 import zlib
 
@@ -33,6 +34,33 @@ def test_vocabulary_and_encode(spark):
     assert enc[1][1] == the
 
 
+def test_uncapped_vocabulary_and_lookup_in_blocks(spark):
+    d = docs(spark).unionByName(docs(spark).limit(1)).unionByName(spark.createDataFrame([(9, None), (9, "a b c")], "item_id long, text string"))
+    v = text_features.build_vocabulary(d, "text")
+    words = {}
+    for (t,) in d.select("text").collect():
+        for w in re.findall(r"[a-z]+|[.,!]", (t or "").lower()):
+            words[w] = words.get(w, 0) + 1
+    order = sorted(words, key=lambda w: (-words[w], w))
+    assert {r.token: (r.cnt, r.token_id) for r in v.collect()} == {w: (words[w], 4 + i) for i, w in enumerate(order)}
+    assert sorted(r.token_id for r in text_features.build_vocabulary(d, "text", cap=7).collect()) == [4, 5, 6]
+    want = sorted((i, [START_ID, *[4 + order.index(w) for w in re.findall(r"[a-z]+|[.,!]", (t or "").lower())][:254], END_ID])
+                  for i, t in d.collect())
+    for block in (1_000_000, 3):
+        got = text_features.with_token_ids(d, v, "text", 256, "input_ids", block=block)
+        assert got.columns == ["item_id", "text", "input_ids"]
+        assert sorted((r.item_id, r.input_ids) for r in got.collect()) == want            # rows of equal id stay apart
+    few = text_features.with_token_ids(d, v.filter("cnt > 100000"), "text", 8)
+    assert {x for r in few.collect() for x in r.input_ids} <= {START_ID, UNK_ID, END_ID}
+
+
+def test_no_exchange_above_the_token_arrays(spark):
+    d = docs(spark)
+    v = text_features.build_vocabulary(d, "text")
+    plan = text_features.with_token_ids(d, v)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+
+
 def test_batches_and_counts(spark):
     d = spark.range(70).select(F.col("id").alias("item_id"),
                                F.array_repeat(F.lit(7), (F.col("id") % 5 + 1).cast("int")).alias("input_ids"))
