@@ -23,6 +23,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage_parquet(df, name)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        for folder in folders:
+            if "/stage-" not in folder:
+                raise ValueError(f"{folder} is no stage table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII texts (bytes = characters) take the
     native ``lower``; others go through ``translate``."""

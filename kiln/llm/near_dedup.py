@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.components import connected_components
-from kiln.llm.helpers import bloom_split, mix64, slices, staged
+from kiln.llm.helpers import bloom_split, mix64, slices, staged, unstage
 
 SKETCH, INDEXED, RUN = 64, 48, 3
 SMALL = 5                 # sets of up to this many values are listed under their runs of two too
@@ -62,6 +62,7 @@ MAX_PIVOTS, PIVOT_GROWTH = 64, 4   # pivots of a long list: 1, 4, 16, then 64 a
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
 BLOCK_LIST, BLOCK_LIST_VALUES = 1024, 1_600_000   # what is left of a list after the first round, if no larger, is compared whole
 BLOCK, BLOCK_VALUES = 2048, 400_000   # documents and set values per side of a block comparison (about 3 MB)
+STRIP, SLICE_VALUES = 256, 1024       # rows and values of a block comparison worked on at once
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -182,8 +183,11 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
 
     told = staged(sets.mapInArrow(run, f"nd_id {kind}, v long, ask boolean, need double, n long"), "nd-values")
     common = told.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select("v")
-    return (told.filter("ask").join(common, "v", "left_semi").groupBy("nd_id")
-            .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("n").alias("n")).filter("c >= need - 1e-6").select("nd_id", "n"))
+    out = staged(told.filter("ask").join(common, "v", "left_semi").groupBy("nd_id")
+                 .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("n").alias("n")).filter("c >= need - 1e-6").select("nd_id", "n"),
+                 "nd-candidates")
+    unstage(told)
+    return out
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -216,66 +220,77 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     """Component label of every set within one block comparison: sets i in
     ``left`` and j in ``right`` are linked if 100 |i & j| >= percent |i | j|.
     Intersections are counted by matrix products over slices of the values
-    that at least two of the sets hold."""
+    that at least two of the sets hold, a strip of rows at a time; beside one
+    count per pair of a left and a right set, only strips are held."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     vals, inv = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.zeros(0), np.zeros(0, np.int64))
-    row = np.repeat(np.arange(n), size)
+    inv, n_vals = inv.astype(np.int32), len(vals)
+    del vals
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    shared = np.bincount(inv, minlength=n_vals) > 1
+    keep = shared[inv]
+    inv, row = (np.cumsum(shared, dtype=np.int32) - 1)[inv[keep]], row[keep]
     order = np.argsort(inv, kind="stable")
     inv, row = inv[order], row[order]
-    shared = np.bincount(inv, minlength=len(vals)) > 1
-    keep = shared[inv]
-    inv, row = (np.cumsum(shared) - 1)[inv[keep]], row[keep]
-    inter = np.zeros((n, n), np.float32)                   # counts below 2^24 are exact
-    for lo in range(0, int(shared.sum()), 2048):
-        a, b = np.searchsorted(inv, [lo, lo + 2048])
-        m = np.zeros((n, 2048), np.float32)
+    del keep, order
+    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
+    inter = np.zeros((len(rows), len(cols)), np.float32)   # counts below 2^24 are exact
+    for lo in range(0, int(shared.sum()), SLICE_VALUES):
+        a, b = np.searchsorted(inv, [lo, lo + SLICE_VALUES])
+        m = np.zeros((n, SLICE_VALUES), np.float32)
         m[row[a:b], inv[a:b] - lo] = 1
-        inter += m @ m.T
-    linked = ((100.0 + percent) * inter.astype(np.float64) >= percent * (size[:, None] + size[None, :])) & (inter > 0)
-    ok = left[:, None] & right[None, :]
-    linked &= ok | ok.T
-    np.fill_diagonal(linked, True)
+        other = m[cols].T
+        for r in range(0, len(rows), STRIP):
+            inter[r:r + STRIP] += m[rows[r:r + STRIP]] @ other
     label = np.arange(n)
-    while True:
-        new = np.where(linked, label[None, :], n).min(axis=1)
-        if (new == label).all():
+    while True:                                             # least label of all linked sets, until nothing changes
+        before = label.copy()
+        for r in range(0, len(rows), STRIP):
+            k = rows[r:r + STRIP]
+            hit = inter[r:r + STRIP]
+            linked = ((100.0 + percent) * hit >= percent * (size[k][:, None] + size[cols][None, :])) & (hit > 0)
+            least = np.minimum(label[k], np.where(linked, label[cols][None, :], n).min(axis=1, initial=n))
+            label[k] = least
+            label[cols] = np.minimum(label[cols], np.where(linked, least[:, None], n).min(axis=0, initial=n))
+        if (label == before).all():
             return label
-        label = new
 
 
 def _family_links(near: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
     """Exact links (a, b) inside the pivots' families ``near`` (p, x, est): the
-    pivot and its core members against the whole family, however low the estimates."""
-    blocks = F.greatest(F.ceil((F.count("*") + 1) / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int")
-    stats = near.groupBy("p").agg(blocks.alias("nb"))
-    fam = near.drop("n").join(stats, "p")
-    fam = fam.select("p", "x", "nb", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("blk"), (F.col("est") >= CORE).alias("core"))
-    pivots = stats.select("p", F.col("p").alias("x"), "nb", F.lit(-1).alias("blk"), F.lit(True).alias("core"))
-    slots = F.sequence(F.lit(0), F.col("nb") - 1)
-    # A member of block b meets every other block c in task (min, max); the pivot is in every task (i, i).
-    fam = fam.select("p", "x", "blk", "core", F.explode(slots).alias("o")).select(
+    pivot and its core members against the whole family, however low the estimates.
+
+    A small family is one task. Of a larger one, core members (the pivot among
+    them) and the others are cut into blocks of their own; every core block
+    meets every block, and blocks of others do not meet each other."""
+    def blocks(of):
+        n, values = F.count(F.when(of, F.lit(1))), F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(values / BLOCK_VALUES)).cast("int")
+
+    core = F.col("est") >= CORE
+    sized = near.groupBy("p").agg(blocks(F.lit(True)).alias("nb"), F.greatest(blocks(core), F.lit(1)).alias("nc"), blocks(~core).alias("no"))
+    stats = sized.select("p", F.when(F.col("nb") <= 1, F.lit(1)).otherwise(F.col("nc")).alias("nc"),
+                         F.when(F.col("nb") <= 1, F.lit(0)).otherwise(F.col("no")).alias("no"))
+    fam = (near.select("p", "x", core.alias("core")).unionByName(stats.select("p", F.col("p").alias("x"), F.lit(True).alias("core")))
+           .join(stats, "p"))
+    own = F.when(F.col("core") | (F.col("no") == 0), F.pmod(F.xxhash64("x"), F.col("nc"))).otherwise(
+        F.col("nc") + F.pmod(F.xxhash64("x"), F.greatest("no", F.lit(1)))).cast("int")
+    met = F.when(F.col("core"), F.sequence(F.lit(0), F.col("nc") + F.col("no") - 1)).otherwise(F.sequence(F.lit(0), F.col("nc") - 1))
+    fam = fam.select("p", "x", own.alias("blk"), "core", F.explode(met).alias("o")).select(
         "p", "x", "blk", "core", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    piv = pivots.select("p", "x", "blk", "core", F.explode(slots).alias("i")).withColumn("j", F.col("i"))
-    rows = fam.unionByName(piv).join(sets.withColumnRenamed("nd_id", "x"), "x")
+    rows = fam.join(sets.withColumnRenamed("nd_id", "x"), "x")
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("x").to_pylist()
         vals = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
         blk = np.asarray(table.column("blk"))
-        core = np.asarray(table.column("core").combine_chunks().cast(pa.int8())).astype(bool)
+        is_core = np.asarray(table.column("core").combine_chunks().cast(pa.int8())).astype(bool)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        if i == j:
-            label = block_links(vals, core, np.ones(len(ids), bool), percent)
-        else:
-            a, b = blk == i, blk == j
-            l1 = block_links(vals, a & core, b, percent)
-            l2 = block_links(vals, b & core, a, percent)
-            out_a = [ids[k] for k in range(len(ids)) if l1[k] != k] + [ids[k] for k in range(len(ids)) if l2[k] != k]
-            out_b = [ids[l1[k]] for k in range(len(ids)) if l1[k] != k] + [ids[l2[k]] for k in range(len(ids)) if l2[k] != k]
-            return pa.table({"a": pa.array(out_a, table.column("x").type), "b": pa.array(out_b, table.column("x").type)})
-        return pa.table({"a": pa.array([ids[k] for k in range(len(ids)) if label[k] != k], table.column("x").type),
-                         "b": pa.array([ids[label[k]] for k in range(len(ids)) if label[k] != k], table.column("x").type)})
+        label = block_links(vals, (blk == i) & is_core, blk == j, percent)
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array([ids[k] for k in moved], table.column("x").type),
+                         "b": pa.array([ids[label[k]] for k in moved], table.column("x").type)})
 
     return (rows.select("p", "i", "j", "x", "blk", "core", "members").groupBy("p", "i", "j")
             .applyInArrow(run, f"a {id_type}, b {id_type}"))
@@ -297,15 +312,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     post = staged(known.select("nd_id", "keys").join(members.select("nd_id"), "nd_id", "left_anti")
                   .select(F.explode("keys").alias("key"), "nd_id"), "nd-postings")
     lists = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    left = staged(post.join(lists, "key").distinct(), "nd-lists")
+    left = listed = staged(post.join(lists, "key").distinct(), "nd-lists")
+    unstage(post)
 
-    cand = staged(left.select("nd_id").distinct(), "nd-candidates")
-    sets = staged(_full_sets(src, cand, shingle), "nd-candidate-sets")
-    cand = staged(_linkable(sets, percent), "nd-candidates")
+    first = staged(left.select("nd_id").distinct(), "nd-candidates")
+    sets = staged(_full_sets(src, first, shingle), "nd-candidate-sets")
+    cand = _linkable(sets, percent)
+    unstage(first)
     sketches = staged(known.select("nd_id", "n", "sketch").join(cand.select("nd_id"), "nd_id", "left_semi"), "nd-candidate-sketches")
     left = left.join(cand, "nd_id")
 
-    links, pivots = None, 1
+    links, pivots, used = None, 1, [listed, cand, sets, sketches, classes]
     while True:
         # Lists with the same members give the same pairs: one of them stays.
         sizes = left.groupBy("key").agg(
@@ -319,6 +336,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not (any_block or any_short or any_long):
             break
         cur = staged(left.join(sizes, "key"), "nd-lists")
+        used += [sizes, cur]
         families, pairs = [], []
         if any_block:
             families.append(cur.filter("way = 'block' AND nd_id <> head")
@@ -336,25 +354,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tested = tested.select(F.col("p").cast("string").alias("key"), "x", "n", "p").distinct()
                 heads = heads.select(F.col("p").cast("string").alias("key"), "p").distinct()
             tested = staged(tested, "nd-tested")   # read twice below
+            used.append(tested)
             if pivots == 1:
                 long = tested.select("key", F.col("x").alias("nd_id"), "n")
             pairs.append(tested.select("p", "x"))
         if pairs:
             near = staged(_estimates(reduce(DataFrame.union, pairs).distinct(), sketches), "nd-near")
             families.append(near)
+            used.append(near)
         found = staged(_family_links(reduce(DataFrame.union, families), sets, percent, id_type).distinct(), "nd-links")
         links = found if links is None else links.union(found)
+        used.append(found)
         if not any_long:
             break
         done = (tested.join(near.filter(F.col("est") >= CORE).select("p", "x"), ["p", "x"], "left_semi").select("key", "x")
                 .union(heads.select("key", F.col("p").alias("x"))).distinct())
         left = staged(long.join(done.withColumnRenamed("x", "nd_id"), ["key", "nd_id"], "left_anti"), "nd-lists")
+        used.append(left)
         pivots = min(MAX_PIVOTS, PIVOT_GROWTH * pivots)
 
     if links is None:
         comp = members.select(F.col("nd_id").alias("node"), F.col("nd_id").alias("component")).limit(0)
     else:
         comp = staged(connected_components(links, "nd-components"), "nd-components")
+    unstage(*used)
     base = rows.select("nd_id", "n").join(members, "nd_id", "left").withColumn("node", F.coalesce("rep", "nd_id"))
     out = base.join(comp, "node", "left")
     component = F.coalesce("component", "node")
