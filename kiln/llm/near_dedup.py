@@ -62,6 +62,7 @@ MAX_PIVOTS, PIVOT_GROWTH = 64, 4   # pivots of a long list: 1, 4, 16, then 64 a
 PROBE = 256               # values of a document whose occurrence elsewhere is counted
 BLOCK_LIST, BLOCK_LIST_VALUES = 1024, 1_600_000   # what is left of a list after the first round, if no larger, is compared whole
 BLOCK, BLOCK_VALUES = 2048, 400_000   # documents and set values per side of a block comparison (about 3 MB)
+TEXT_SLICE = 1 << 20      # bytes of text shingled at once
 STRIP, SLICE_VALUES = 256, 1024       # rows and values of a block comparison worked on at once
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,7 +124,7 @@ def _sketch_rows(docs: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["nd_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_SLICE):
             sets = shingle_sets(b.column("text"), shingle)
             raw = [s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -144,7 +145,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["nd_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_SLICE):
             yield pa.RecordBatch.from_arrays(
                 [b.column("nd_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), shingle)], pa.binary())],
                 names=["nd_id", "members"])

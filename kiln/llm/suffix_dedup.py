@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from kiln.llm.helpers import bloom_split, buffers, mix64, slices, staged
 
 LENGTH, COVER, SEED_BYTES = 400, 128, 12
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
