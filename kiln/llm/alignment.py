@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import buffers, slices, staged
+from kiln.llm.helpers import binary_buffers, buffers, slices, staged
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 2 << 20            # bytes of text worked on at once
@@ -199,14 +199,6 @@ class _Pair:
         return pa.Array.from_buffers(pa.binary(), len(per_unit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(chars[chars != 0])])
 
 
-def binary_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary array without nulls."""
-    off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
-    data = col.buffers()[2]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[off[0]:off[-1]], off - off[0]
-
-
 def buffers_of(col: pa.Array) -> np.ndarray:
     return binary_buffers(col)[0]
 

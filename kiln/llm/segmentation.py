@@ -27,9 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import mix64, slices
+from kiln.llm.helpers import binary_buffers, buffers, mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -74,6 +72,27 @@ def units(text: str) -> list[str]:
     return _UNITS.findall(BLANK + text.replace(" ", BLANK))
 
 
+def coded_units(col: pa.Array) -> tuple[np.ndarray, np.ndarray, str, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of all texts at once: (bytes with a blank put before every
+    text, bounds of the texts in them, distinct units one after another, their
+    numbers of characters, number of each unit's distinct one, number of units
+    before each text bound)."""
+    raw, off = buffers(col)
+    n = len(col)
+    wide = np.full(len(raw) + n, 0x20, np.uint8)
+    wide[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(off))] = raw
+    ends = off + np.arange(n + 1)
+    begins = wide == 0x20
+    begins[1:] &= wide[:-1] != 0x20
+    begins[ends[:-1]] = True
+    cut = np.concatenate([np.flatnonzero(begins), [len(wide)]])
+    coded = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(wide)]).dictionary_encode()
+    words, first = binary_buffers(coded.dictionary)
+    size = np.add.reduceat((words & 0xC0) != 0x80, first[:-1], dtype=np.int64) if len(first) > 1 else np.zeros(0, np.int64)
+    joined = words.tobytes().decode().replace(BLANK, _LITERAL).replace(" ", BLANK)
+    return wide, ends, joined, size, np.asarray(coded.indices, dtype=np.int64), np.searchsorted(cut, ends)
+
+
 def decode(ids: list[int], model: dict) -> str:
     """Text of piece ids: joined bytes, without the leading blank."""
     t = model["text"]
@@ -156,12 +175,12 @@ class Lattices:
             out[low] = flat[begin[-1 - out[low]] + within]
         return out, ends[off]
 
-    def table(self, distinct: list[str]) -> dict:
-        """Edge arrays over all positions (states) of the distinct units, longest
+    def table(self, joined: str, size: np.ndarray) -> dict:
+        """Edge arrays over all positions (states) of the distinct units, given
+        one after another with their numbers of characters; longest
         piece first; ``first`` is each unit's first state, target -1 its end; an
         id below 0 is a byte spelling."""
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        chars = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         stop = np.cumsum(size)
         first = stop - size
         left = np.repeat(stop, size) - np.arange(len(chars))          # characters to the unit's end
@@ -216,13 +235,21 @@ class Lattices:
         pr = np.exp(logp)
         cum = np.cumsum(pr)
         cum -= np.repeat(cum[start[:-1]] - pr[start[:-1]], np.diff(start))
-        return {"first": first, "start": start, "logp": logp, "cum": cum, "to": np.where(ends, -1, src + length), "id": ids}
+        return {"first": first, "start": start, "logp": logp, "cum": cum, "to": np.where(ends, -1, src + length), "id": ids, "rest": _rest(logp)}
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     return (mix64(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def _draw(x: int) -> float:
+    """``_uniform`` of one number."""
+    x &= 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & (2**64 - 1)
+    return ((x ^ (x >> 31)) >> 11) * 2.0**-53 + 2.0**-54
+
+
 def sample_paths(t: dict, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges of all paths one after another, offsets): one path per state,
     each piece drawn with its probability."""
@@ -259,6 +286,11 @@ def _truncated(mass: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np
         return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
 
 
+def _truncated_one(mass: float, bound: float, u: float) -> float:
+    a, b = -bound, math.log(-math.log(u)) - mass
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b)))) if a != b else -(a + math.log(2))
+
+
 def _rest(logp: np.ndarray) -> np.ndarray:
     """log(1 - p); -inf where nothing is left."""
     with np.errstate(divide="ignore"):
@@ -271,7 +303,7 @@ def top_samples(t: dict, edges: list[np.ndarray], offs: list[np.ndarray], lo: in
     (edges, log probability, perturbed value), and the (k+1)-th value.
     ``edges[j]`` / ``offs[j]`` hold the j-th independent draw of every unit."""
     def draw(tag: int) -> float:
-        return float(_uniform(np.array([(seed + 0x632BE59BD9B4E019 * (tag + 1)) & (2**64 - 1)], np.uint64))[0])
+        return _draw(seed + 0x632BE59BD9B4E019 * (tag + 1))
 
     def opened(path: np.ndarray, from_step: int, bound: float, tag: int) -> dict:
         """A path with the perturbed maxima of the branches off its steps. The
@@ -286,7 +318,7 @@ def top_samples(t: dict, edges: list[np.ndarray], offs: list[np.ndarray], lo: in
             before = np.cumsum(lp) - lp
             u = _uniform(np.uint64(base) + np.arange(stop - from_step, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
             g = np.full(stop, -np.inf)
-            g[from_step:] = _truncated(before[from_step:] + _rest(lp[from_step:]), bound, u)
+            g[from_step:] = _truncated(before[from_step:] + t["rest"][path[from_step:stop]], bound, u)
             if stop == n or before[-1] + REACH < g.max(initial=-np.inf):
                 break
             stop = min(n, 2 * stop)
@@ -315,7 +347,7 @@ def top_samples(t: dict, edges: list[np.ndarray], offs: list[np.ndarray], lo: in
         tried.append(alt)
         left = 1.0 - float(np.exp(t["logp"][tried]).sum())
         more = len(tried) < len(all_e) and left > 1e-12
-        node["g"][i] = _truncated(np.array([node["before"][i] + math.log(left)]), value, np.array([draw(tag + 1)]))[0] if more else -math.inf
+        node["g"][i] = _truncated_one(node["before"][i] + math.log(left), value, draw(tag + 1)) if more else -math.inf
         best[who] = int(node["g"].argmax())
         s = np.array([t["to"][alt]])
         tail = sample_paths(t, s, np.array([(seed + 0x2545F4914F6CDD1D * (tag + 3)) & (2**64 - 1)], np.uint64))[0] if s[0] >= 0 else np.zeros(0, np.int64)
@@ -344,21 +376,24 @@ def sample_encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
     src = docs.select(F.col(id_col).alias("sg_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["sg_id"].dataType.simpleString()
 
+    def gives_back(ids: np.ndarray, off: np.ndarray, raw: np.ndarray, ends: np.ndarray, docs: tuple) -> list[bool]:
+        """Whether the bytes of each sample's pieces are its text's."""
+        spelled, first = binary_buffers(piece_bytes.take(pa.array(ids)))
+        at = first[off]
+        return [np.array_equal(spelled[x:y], raw[ends[d]:ends[d + 1]]) for x, y, d in zip(at[:-1], at[1:], docs)]
+
+    piece_bytes = pa.array([model["text"].get(i) for i in range(max(model["text"]) + 1)], pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattices(model)
         for b in slices(batches, "text", SLICE):
-            texts, keys = b.column("text").to_pylist(), b.column("sg_id").to_pylist()
-            number: defaultdict[str, int] = defaultdict(count().__next__)
-            uid: list[int] = []
-            bound = [0]
-            for text in texts:
-                uid += map(number.__getitem__, units(text))
-                bound.append(len(uid))
-            t = lat.table(list(number))
-            state = t["first"][np.array(uid)]
+            keys = b.column("sg_id").to_pylist()
+            raw, ends, words, size, uid, bound = coded_units(b.column("text"))
+            t = lat.table(words, size)
+            state = t["first"][uid]
             rs = np.array([xxhash.xxh3_64_intdigest(repr(key), seed=seed) for key in keys], np.uint64)
             n = np.diff(bound)
-            place = np.arange(len(uid)) - np.repeat(np.array(bound[:-1]), n)
+            place = np.arange(len(uid)) - np.repeat(bound[:-1], n)
             sd = np.concatenate([mix64(np.repeat(rs, n) + mix64(place.astype(np.uint64) * np.uint64(k) + np.uint64(j))) for j in range(k)])
             e, o = sample_paths(t, np.tile(state, k), sd)
             cut = np.arange(k + 1) * len(uid)
@@ -366,14 +401,14 @@ def sample_encode(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
             offs = [o[x:y + 1] - o[x] for x, y in zip(cut[:-1], cut[1:])]
             rows: list[tuple] = []
             paths = []
-            for d in range(len(texts)):
+            for d in range(len(keys)):
                 got = top_samples(t, edges, offs, bound[d], bound[d + 1], int(rs[d]), k)
                 for s, (path, lp, g) in enumerate(got[:-1]):
                     rows.append((d, s + 1, lp, g, log_inclusion(lp, got[-1][2])))
                     paths.append(path)
             ids, off = lat.spell(t["id"][np.concatenate(paths)], np.cumsum([0, *map(len, paths)]))
             c = list(zip(*rows))
-            same = [decode(ids[x:y].tolist(), model) == texts[d] for x, y, d in zip(off[:-1], off[1:], c[0])] if verify else [None] * len(rows)
+            same = gives_back(ids, off, raw, ends, c[0]) if verify else [None] * len(rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column("sg_id").take(pa.array(c[0])), pa.array(c[1], pa.int32()),
                  pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))),

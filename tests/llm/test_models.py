@@ -208,7 +208,7 @@ def test_samples_follow_the_lattice(model):
     every = [(a + b, x + y) for (a, x), (b, y) in itertools.product(*map(walk, us))]
     z = np.logaddexp.reduce([w for _, w in every])
     p = {a: math.exp(w - z) for a, w in every}
-    t = segmentation.Lattices(model).table(us)
+    t = segmentation.Lattices(model).table("".join(us), np.array([len(u) for u in us]))
     state, n, total = t["first"][np.arange(2)], 6000, 0.0
     first, second = Counter(), Counter()
     for s in range(n):
