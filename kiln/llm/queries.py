@@ -66,7 +66,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_dedup(read(spark, sf_dir, "documents"))
+    return suffix.suffix_dedup(read(spark, sf_dir, "documents")).withColumn("changed", F.col("n_removed") > 0)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
