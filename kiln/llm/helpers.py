@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kiln.operators.joins import stage_parquet
 
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,8 +20,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write once as parquet under the shared checkpoint folder and reread."""
-    return stage_parquet(df, name)
+    """Write once as parquet under the shared checkpoint folder and reread.
+    Unless the session sets a limit, Arrow batches hold at most ``BATCH_BYTES``
+    meanwhile, so a task's memory does not grow with the length of its texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is not None:
+        return stage_parquet(df, name)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return stage_parquet(df, name)
+    finally:
+        conf.unset(key)
 
 
 def unstage(*tables: DataFrame) -> None:
