@@ -14,7 +14,7 @@ from .test_dedup import brute_components, brute_spans
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
     df = QUERIES[name](spark, SF001)
     res = con.execute(ORACLE[name])
