@@ -35,17 +35,20 @@ def keep_mask(df: DataFrame) -> Column:
     return required_present(df) & long_enough() & has_image_urls()
 
 
-def pinned_filter(df: DataFrame, cond: Column) -> DataFrame:
+def pinned_filter(df: DataFrame, cond: Column, plain=("item_id", "category")) -> DataFrame:
     """Filter ``df`` on ``cond`` without letting Catalyst push the predicate
     below the projection that computes the columns it reads.
 
     When a predicate refers to derived text columns, pushdown substitutes
     their expressions into the filter and the projection computes them again
-    -- the normalisation would run twice per row. A projection holding a
-    non-deterministic column is never pushed through, so an always-true
-    ``rand(0) >= 0`` term pins the filter above it. Plain-column predicates
-    should use ``filter`` so they still reach the scan."""
-    return (df.withColumn("__pin", F.rand(0)).filter(cond & (F.col("__pin") >= 0)).drop("__pin"))
+    -- the normalisation would run twice per row. Here all but the ``plain``
+    columns pass through a one-row generator: what reads its output stays
+    above it, while predicates on ``plain`` columns, later ones too, still go
+    through to the scan and prune partitions."""
+    kept = [c for c in df.columns if c in plain]
+    rest = [c for c in df.columns if c not in plain]
+    row = F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rest])))
+    return df.select(*[F.col(f"`{c}`") for c in kept], row).filter(cond).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def filter_records(df: DataFrame) -> DataFrame:

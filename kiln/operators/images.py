@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from kiln.config import IMAGE_MEAN, IMAGE_STD
 from kiln.functions.text import strip
 from kiln.operators.partitioning import spread
+from kiln.operators.skew import lookup_join
 
 MIN_SIDE = 10
 
@@ -46,26 +47,25 @@ def attach_images(df: DataFrame, images: DataFrame, cand_col: str = "candidates"
     order, row kept when nothing matches. Adds ``images`` (array of origins)
     and ``has_images``.
 
-    Landed images are deduplicated by origin (a hash aggregate whose
-    partitioning the join then reuses). With ``k=1`` (one candidate per row,
-    the default configuration) this is a single left join on the candidate;
-    otherwise candidates are exploded, matched, regrouped per row and joined
-    back. A hot URL shared by many rows is a skewed join key: AQE's
-    skew-join split applies to the left side of these joins."""
-    imgs = (images.filter(valid_size(F.col("width"), F.col("height")))
-            .select(F.col(key).alias("__url")).distinct().withColumn("__ok", F.lit(True)))
+    Landed images are deduplicated by origin. With ``k=1`` (one candidate per
+    row, the default configuration) the candidate is looked up; otherwise each
+    distinct candidate list is matched once and looked up as a whole, so rows
+    stay apart whatever their ids. Hot URLs, hot lists and rows without a
+    candidate do not meet in one task (``lookup_join``)."""
+    imgs = images.filter(valid_size(F.col("width"), F.col("height"))).select(F.col(key).alias("look_url")).distinct()
     empty = F.array().cast(T.ArrayType(T.StringType()))
     if k == 1:
-        out = df.withColumn("__url", F.get(F.col(cand_col), 0)).join(imgs, "__url", "left")
-        found = F.when(F.col("__ok"), F.array(F.col("__url"))).otherwise(empty)
-        return out.withColumn("images", found).withColumn("has_images", F.size(found) > 0).drop("__url", "__ok")
-    ex = df.select(id_col, F.posexplode(cand_col).alias("__pos", "__url"))
-    hit = (ex.join(imgs, "__url", "inner")
-           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__url"))).alias("__m")))
-    out = df.join(hit, id_col, "left")
-    found = F.transform(F.coalesce(F.col("__m"), F.array().cast("array<struct<__pos:int,__url:string>>")),
-                        lambda s: s["__url"])
-    return out.withColumn("images", found).withColumn("has_images", F.size(found) > 0).drop("__m")
+        out = lookup_join(df.withColumn("look_url", F.get(F.col(cand_col), 0)), imgs.withColumn("look_ok", F.lit(True)), "look_url")
+        found = F.when(F.col("look_ok"), F.array(F.col("look_url"))).otherwise(empty)
+        return out.withColumn("images", found).withColumn("has_images", F.size(found) > 0).drop("look_url", "look_ok")
+    listed = df.withColumn("look_list", F.when(F.size(cand_col) > 0, F.to_json(cand_col)))
+    each = (listed.filter("look_list IS NOT NULL").select("look_list", cand_col).dropDuplicates(["look_list"])
+            .select("look_list", F.posexplode(cand_col).alias("look_pos", "look_url")))
+    hit = (each.join(imgs, "look_url").groupBy("look_list")
+           .agg(F.array_sort(F.collect_list(F.struct("look_pos", "look_url"))).alias("look_found")))
+    out = lookup_join(listed, hit, "look_list")
+    found = F.coalesce(F.transform("look_found", lambda s: s["look_url"]), empty)
+    return out.withColumn("images", found).withColumn("has_images", F.size(found) > 0).drop("look_list", "look_found")
 
 
 def has_images_value(c="has_images") -> Column:
