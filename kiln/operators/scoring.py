@@ -12,6 +12,8 @@ import math
 from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,83 +140,116 @@ def fit_robust(df: DataFrame, feat_col: str = "features", label_col: str = "labe
     return lr.fit(x)
 
 
-def _partial_normal_equations(df: DataFrame, group_col: str, feat_col: str, label_col: str,
-                              w_col: str) -> DataFrame:
-    """Per partition and group: ``[n] + X'WX (flattened) + X'Wy`` with an
-    intercept column appended to X. One row per (partition, group)."""
+def _packed(n_coef: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n_coef)
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _partial_sums(df: DataFrame, group_col: str, feat_col: str, label_col: str, weight_col: str) -> DataFrame:
+    """Per task and group, with residuals r under the coefficients ``beta`` of
+    the row (none at first): [n, sum w, X'WX as a packed triangle, X'Wy, sum of
+    w psi(r) x], W the reweighted weights and psi the loss's slope; the last
+    coefficient is the intercept. ``task`` deals the rows for the next level."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
-        for pdf in it:
-            for g, part in pdf.groupby(group_col, sort=False):
-                X = np.stack(part[feat_col].map(np.asarray).to_numpy()).astype(np.float64)
-                X = np.hstack([X, np.ones((len(X), 1))])
-                y = part[label_col].to_numpy(np.float64)
-                w = part[w_col].to_numpy(np.float64)
-                v = np.concatenate([[len(X)], ((X * w[:, None]).T @ X).ravel(), (X * w[:, None]).T @ y])
-                acc[g] = acc[g] + v if g in acc else v
+        for b in batches:
+            code = b.column(group_col).dictionary_encode()
+            group = np.asarray(pc.fill_null(code.indices, -1))
+            feats = b.column(feat_col)
+            size = np.diff(np.asarray(feats.offsets))
+            if not b.num_rows:
+                continue
+            x = np.asarray(feats.flatten().cast(pa.float64())).reshape(b.num_rows, -1) if (size == size[0]).all() else None
+            if x is None:
+                raise ValueError("feature vectors differ in length")
+            x = np.hstack([x, np.ones((len(x), 1))])
+            y, w = (np.asarray(b.column(c).cast(pa.float64())) for c in (label_col, weight_col))
+            beta = b.column("beta")
+            have = np.asarray(beta.is_valid())
+            r = np.zeros(len(x))
+            if have.any():
+                r[have] = np.einsum("ij,ij->i", x[have], np.asarray(beta.flatten()).reshape(-1, x.shape[1])) - y[have]
+            psi = np.clip(r, -1.0, 1.0)
+            irls = w / np.maximum(1.0, np.abs(r))
+            up = _packed(x.shape[1])
+            for g in np.unique(group).tolist():
+                k = group == g
+                xw = x[k] * irls[k][:, None]
+                v = np.concatenate([[k.sum(), w[k].sum()], (xw.T @ x[k])[up], xw.T @ y[k], x[k].T @ (w[k] * psi[k])])
+                name = code.dictionary[g].as_py() if g >= 0 else None
+                acc[name] = acc[name] + v if name in acc else v
         if acc:
-            yield pd.DataFrame({group_col: list(acc), "__m": [v.tolist() for v in acc.values()]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(acc), kind), pa.array(list(acc.values()), pa.list_(pa.float64()))], names=[group_col, "sums"])
 
-    schema = T.StructType([df.schema[group_col], T.StructField("__m", T.ArrayType(T.DoubleType()))])
-    return df.select(group_col, feat_col, label_col, w_col).mapInPandas(fn, schema)
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = to_arrow_type(df.schema[group_col].dataType)
+    schema = T.StructType([df.schema[group_col], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    return df.select(group_col, feat_col, label_col, weight_col, "beta").mapInArrow(fn, schema).withColumn("task", F.spark_partition_id() % TREE)
 
 
-def _solve(group_field: T.StructField):
-    """Row-wise solve of each group's summed system (one row per group)."""
-    name = group_field.name
+def _sum_arrays(table: pa.Table) -> np.ndarray:
+    return np.sum([np.asarray(v.values) for v in table["sums"].combine_chunks()], axis=0)
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            n, coef, icpt = [], [], []
-            for m in pdf["__m"]:
-                m = np.asarray(m, dtype=np.float64)
-                k = int(round((-1 + math.sqrt(1 + 4 * (len(m) - 1))) / 2))
-                beta = np.linalg.lstsq(m[1:1 + k * k].reshape(k, k), m[1 + k * k:], rcond=None)[0]
-                n.append(int(m[0]))
-                coef.append(beta[:-1].tolist())
-                icpt.append(float(beta[-1]))
-            yield pd.DataFrame({name: pdf[name], "n": n, "coef": coef, "intercept": icpt})
-
-    schema = T.StructType([group_field, T.StructField("n", T.LongType()),
-                           T.StructField("coef", T.ArrayType(T.DoubleType())),
-                           T.StructField("intercept", T.DoubleType())])
-    return fn, schema
+
+TREE = 64        # tasks' sums are added in this many parts per group, then the parts
 
 
 def fit_per_group(df: DataFrame, group_col: str, feat_col: str = "features", label_col: str = "label",
-                  weight_col: str = "weight", iters: int = 8) -> DataFrame:
+                  weight_col: str = "weight", tol: float = 1e-6, max_iter: int = 200) -> DataFrame:
     """M7 per group: weighted smooth-L1 (beta 1) linear fit per group by
-    iteratively reweighted least squares. Output: ``group_col, n, coef,
-    intercept``, one row per group.
-
-    The input is checkpointed once. Each iteration is one distributed pass:
-    the IRLS weight of every row is a column expression over the current
-    coefficients (a per-group table joined by size-checked broadcast),
-    per-partition normal equations are built with NumPy and summed per
-    (group, entry) -- a group never has to fit in one task -- and each
-    group's small system is solved on the executors. The coefficient table
-    is checkpointed per iteration, so lineage does not grow; nothing but
-    row counts reaches the driver."""
-    data = materialize(df.select(group_col, feat_col, label_col, weight_col))
-    solve, schema = _solve(df.schema[group_col])
-    betas = None
-    for _ in range(iters + 1):
-        w0 = F.col(weight_col).cast("double")
+    iteratively reweighted least squares until the gradient of the mean loss is
+    at most ``tol`` in norm. Output, one row per group: ``group_col, n, coef,
+    intercept, grad_norm, iterations, converged``.
+
+    Reweighting minimises a quadratic that touches the loss from above, so the
+    loss never rises and no step needs a search; the gradient that proves
+    convergence is summed in the same pass as the next step's normal equations.
+    The input is checkpointed once. A pass joins every row with its group's
+    coefficients (size-checked broadcast), sums packed triangles per task and
+    group, then in two levels, ``TREE`` parts per group first, so no task sees a
+    sum per task of a group, and solves each group's small system on the
+    executors. Only the largest gradient and a count reach the driver. Rows
+    with a null feature, label or weight take no part."""
+    data = materialize(df.select(group_col, feat_col, label_col, weight_col).dropna(subset=[feat_col, label_col, weight_col]))
+    g_type = df.schema[group_col].dataType.simpleString()
+    schema = f"`{group_col}` {g_type}, n long, beta array<double>, grad double"
+
+    def part(table: pa.Table) -> pa.Table:
+        return pa.table({group_col: table[group_col].slice(0, 1), "sums": pa.array([_sum_arrays(table)], pa.list_(pa.float64()))})
+
+    def solve(table: pa.Table) -> pa.Table:
+        v = _sum_arrays(table)
+        # 2 + k (k + 1) / 2 + 2 k entries
+        k = int(round((-5 + math.sqrt(25 + 8 * (len(v) - 2))) / 2))
+        m = np.zeros((k, k))
+        tri = k * (k + 1) // 2
+        m[_packed(k)] = v[2:2 + tri]
+        m = m + np.triu(m, 1).T
+        beta = np.linalg.lstsq(m, v[2 + tri:2 + tri + k], rcond=None)[0]
+        grad = float(np.linalg.norm(v[2 + tri + k:]) / v[1]) if v[1] > 0 else 0.0
+        return pa.table({group_col: table[group_col].slice(0, 1), "n": pa.array([int(v[0])]), "beta": pa.array([beta], pa.list_(pa.float64())), "grad": pa.array([grad])})
+
+    betas, step = None, 0
+    while True:
         if betas is None:
-            x = data.withColumn("__w", w0)
+            x = data.withColumn("beta", F.lit(None).cast("array<double>"))
         else:
-            r = F.abs(F.col("__pred") - F.col(label_col).cast("double"))
-            irls = F.when(r < 1.0, F.lit(1.0)).otherwise(1.0 / F.greatest(r, F.lit(1e-12)))
-            x = predict_per_group(data, betas, group_col, feat_col, "__pred", materialized=True).withColumn("__w", w0 * irls)
-        parts = _partial_normal_equations(x, group_col, feat_col, label_col, "__w")
-        summed = (parts.select(group_col, F.posexplode("__m").alias("__i", "__v"))
-                  .groupBy(group_col, "__i").agg(F.sum("__v").alias("__v"))
-                  .groupBy(group_col)
-                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda e: e["__v"])
-                       .alias("__m")))
-        betas = materialize(summed.mapInPandas(solve, schema))
-    return betas
+            known = bounded_broadcast(betas.select(F.col(group_col).alias("of_group"), "beta"), materialized=True)
+            x = data.join(known, F.col(group_col).eqNullSafe(F.col("of_group")), "left").drop("of_group")
+        sums = (_partial_sums(x, group_col, feat_col, label_col, weight_col).groupBy(group_col, "task").applyInArrow(
+            part, f"`{group_col}` {g_type}, sums array<double>").groupBy(group_col).applyInArrow(solve, schema))
+        new = materialize(sums)
+        if betas is not None:
+            worst = new.agg(F.max("grad")).first()[0]
+            if worst is None or worst <= tol or step >= max_iter:
+                break
+        betas, step = new, step + 1
+    proof = new.select(F.col(group_col).alias("of_group"), F.col("grad").alias("grad_norm"))
+    k = F.size("beta")
+    return (betas.join(proof, F.col(group_col).eqNullSafe(F.col("of_group")))
+            .select(group_col, "n", F.slice("beta", 1, k - 1).alias("coef"), F.element_at("beta", -1).alias("intercept"), "grad_norm",
+                    F.lit(step).alias("iterations"), (F.col("grad_norm") <= tol).alias("converged")))
 
 
 def predict_per_group(df: DataFrame, fits: DataFrame, group_col: str, feat_col: str = "features",

@@ -532,7 +532,7 @@ def q_m7_robust_fit(spark, d):
     v = _vectors(spark, d)
     x = v.select(scoring.fuse(F.col("image_vec"), F.col("text_vec")).alias("features"),
                  (1 + F.col("label").cast("double") * 2 / 5).alias("label"), F.lit(1.0).alias("weight"))
-    model = scoring.fit_robust(x, max_iter=20)
+    model = scoring.fit_robust(x, max_iter=200)
     from pyspark.ml.functions import array_to_vector
     pred = model.transform(x.withColumn("__v", array_to_vector("features")))
     return pred.agg(*evaluation.regression_metrics("prediction", "label"))
@@ -542,12 +542,23 @@ def q_m7_robust_fit_per_group(spark, d):
     v = _vectors(spark, d)
     x = v.select("has_images", scoring.fuse(F.col("image_vec"), F.col("text_vec")).alias("features"),
                  (1 + F.col("label").cast("double") * 2 / 5).alias("label"), F.lit(1.0).alias("weight"))
-    fits = scoring.fit_per_group(x, "has_images", iters=6)
+    fits = scoring.fit_per_group(x, "has_images")
     pred = scoring.predict_per_group(x, fits, "has_images")
     return pred.groupBy("has_images").agg(F.count(F.lit(1)).alias("n"),
                                           *evaluation.regression_metrics("prediction", "label"))
 
 
+def q_m7_fit_to_convergence(spark, d):
+    """One feature per group, weighted: the fit of each label group, proven by
+    its gradient; SQL runs the same reweighting far past convergence."""
+    e = table(spark, "embeddings", d)
+    x = e.select("label", F.array(F.col("embedding")[0].cast("double")).alias("features"),
+                 (10 * F.col("embedding")[1].cast("double")).alias("target"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
+    fits = scoring.fit_per_group(x, "label", label_col="target", tol=1e-8)
+    return fits.select("label", "n", F.round(F.col("coef")[0], 4).alias("coef"), F.round("intercept", 4).alias("intercept"),
+                       (F.col("grad_norm") < 1e-6).alias("flat"), "converged")
+
+
 # --- V: evaluation ------------------------------------------------------------------------------------
 
 def q_v1_smooth_l1(spark, d):
@@ -798,6 +809,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "M5_submission": q_m5_submission,
     "M6_summary": q_m6_summary,
     "M7_robust_fit": q_m7_robust_fit,
+    "M7_fit_to_convergence": q_m7_fit_to_convergence,
     "M7_robust_fit_per_group": q_m7_robust_fit_per_group,
     "V1_smooth_l1": q_v1_smooth_l1,
     "V2_loss_mae_rmse": q_v2_loss_mae_rmse,

@@ -431,6 +431,17 @@ from embeddings""",
   '1.0' as params, '1.8' as flops from predictions""",
     "M6_summary": with_views("predictions") + """select count(*) as n, round(min(greatest(1.0, least(5.0, prediction))), 6) as min_score,
   round(max(greatest(1.0, least(5.0, prediction))), 6) as max_score, 0.0::double as seconds_per_row from predictions""",
+    "M7_fit_to_convergence": """with recursive d as materialized (
+  select label, embedding[1]::double as x, 10 * embedding[2]::double as y, 1.0::double + vec_id % 3 as w from embeddings),
+fit as (
+  select label, 0 as it, 0.0::double as a, 0.0::double as b from d group by label
+  union all
+  select label, it + 1, (sw * sxy - sx * sy) / (sw * sxx - sx * sx), (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) from (
+    select d.label, it, sum(k) as sw, sum(k * x) as sx, sum(k * y) as sy, sum(k * x * x) as sxx, sum(k * x * y) as sxy
+    from (select d.label, it, x, y, case when it = 0 then w else w / greatest(1.0, abs(a * x + b - y)) end as k
+          from d join fit on d.label = fit.label where it < 400) d group by d.label, it))
+select label, (select count(*) from d where d.label = fit.label) as n, round(a, 4) as coef, round(b, 4) as intercept, true as flat, true as converged
+from fit where it = 400""",
     "V1_smooth_l1": with_views("predictions") + f"select id, round({smooth_l1()}, 6) as loss from predictions",
     "V2_loss_mae_rmse": with_views("predictions") + f"""select cast(run_id as bigint) as run_id, round(avg({smooth_l1()}), 6) as loss,
   round(avg(abs(prediction - label)), 6) as mae, round(sqrt(sum((prediction - label) * (prediction - label)) / count(*)), 6) as rmse

@@ -174,4 +174,26 @@ def test_robust_fit(spark):
     per = {r.g: r for r in scoring.fit_per_group(df, "g").collect()}
     for g in (0, 1):
         assert np.allclose(per[g].coef, [1.0, -2.0, 0.5, 0.0], atol=0.05) and per[g].intercept == pytest.approx(3, abs=0.05)
-        assert per[g].n == 200
+        assert per[g].n == 200 and per[g].converged and per[g].grad_norm <= 1e-6
+
+
+def test_fit_gradient_is_the_losss(spark):
+    """The reported optimum beats its neighbours, and its slope measured by
+    differences of the loss is nil; too few steps are not called converged."""
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(300, 3)), rng.uniform(0.1, 2, 300)
+    y = x @ np.array([2.0, 0.0, -1.0]) + 1 + rng.standard_t(1.5, 300)
+    rows = [(None if i % 2 else "g", x[i].tolist(), float(y[i]), float(w[i])) for i in range(300)] + [("g", None, 1.0, 1.0), ("g", [0.0] * 3, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, features array<double>, label double, weight double").repartition(5)
+    for r in scoring.fit_per_group(df, "g", tol=1e-7).collect():
+        k = np.array([(r.g is None) == bool(i % 2) for i in range(300)])
+        beta = np.array([*r.coef, r.intercept])
+
+        def loss(b):
+            d = np.abs(np.hstack([x[k], np.ones((150, 1))]) @ b - y[k])
+            return (w[k] * np.where(d < 1, 0.5 * d * d, d - 0.5)).sum() / w[k].sum()
+        slope = [(loss(beta + 1e-5 * e) - loss(beta - 1e-5 * e)) / 2e-5 for e in np.eye(4)]
+        assert np.abs(slope).max() < 1e-6 and r.grad_norm <= 1e-7 and r.converged and r.n == 150
+    hasty = scoring.fit_per_group(df, "g", tol=1e-12, max_iter=1).collect()
+    assert len(hasty) == 2 and not any(r.converged for r in hasty) and {r.iterations for r in hasty} == {1}
+    assert scoring.fit_per_group(df.limit(0), "g").count() == 0
