@@ -46,3 +46,15 @@ def stage_parquet(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"stage-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def staged_keys(df: DataFrame, keys: list[str], stage: bool, keep: list[str] | None, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, narrow) for operators that count first and select afterwards.
+    ``narrow`` holds ``keys`` of every row, staged when ``stage`` is set. ``rows``
+    is the input itself, or, with ``keep``, ``keys`` and the kept columns, read
+    from the same stage table."""
+    cols = list(dict.fromkeys([*keys, *(keep or [])]))
+    narrow = df.select(*[F.col(f"`{c}`") for c in cols])
+    if stage:
+        narrow = stage_parquet(narrow, name)
+    return (df if keep is None else narrow), narrow.select(*[F.col(f"`{c}`") for c in keys])

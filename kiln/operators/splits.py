@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import bounded_broadcast, materialize, stage_parquet
+from kiln.operators.joins import bounded_broadcast, materialize, staged_keys
 from kiln.operators.ranking import BUCKET, HASH, cut_positions, group_histogram, seeded_hash
 
 STRATUM = "strat_label"
@@ -103,17 +103,16 @@ def stratified_split(df: DataFrame, label: str = STRATUM, id_col: str = "item_id
 
 def rare_stratified_split(df: DataFrame, value_col: str = "average_rating", threshold: int = 50,
                           id_col: str = "item_id", seed: int = 42, test_size: float = 0.2,
-                          label: str = STRATUM, stage: bool = True) -> DataFrame:
+                          label: str = STRATUM, stage: bool = True, keep: list[str] | None = None) -> DataFrame:
     """P2 + P3 + P4 with one pass for counting: a histogram per (value,
     hash bucket) gives the value counts (for the rare merge) and, re-keyed
     through the small value -> stratum map, the per-stratum histogram the
     cut positions need. Same result as ``stratified_split(rare_strata(..))``.
-    With ``stage`` the input is written once as parquet (see
-    ``sample_per_group``), so the counting pass reads two columns."""
-    if stage:
-        df = stage_parquet(df, "split-input")
-    h = df.withColumn(HASH, seeded_hash(seed, id_col))
-    vhist = materialize(group_histogram(h, [value_col]))
+    ``stage`` and ``keep`` as in ``sample_per_group``: only (value, id) and the
+    kept columns are written."""
+    rows, narrow = staged_keys(df, [value_col, id_col], stage, keep, "split-input")
+    keys = narrow.withColumn(HASH, seeded_hash(seed, id_col))
+    vhist = materialize(group_histogram(keys, [value_col]))
     counts = vhist.groupBy(value_col).agg(F.sum("__n").alias("__vc"))
     # A small aggregation of the checkpointed histogram: measured, not
     # checkpointed again.
@@ -122,12 +121,13 @@ def rare_stratified_split(df: DataFrame, value_col: str = "average_rating", thre
     # Re-keyed from the checkpointed value histogram (small), so no new pass.
     shist = (vhist.join(m, vhist[value_col].eqNullSafe(m["__v"]), "inner")
              .groupBy(label, BUCKET).agg(F.sum("__n").alias("__n")))
-    rows = _attach_strata(h, mapping, value_col)
+    rows = _attach_strata(rows.withColumn(HASH, seeded_hash(seed, id_col)), mapping, value_col)
 
     def quotas(c):
         q = split_quotas(c, label, test_size)
         return q.select(label, F.col("q_train").alias("__q1"), (F.col("q_train") + F.col("q_val")).alias("__q2"))
-    ranked = cut_positions(rows, [label], quotas, ["__q1", "__q2"], id_col, hist=shist)
+    ranked = cut_positions(rows, [label], quotas, ["__q1", "__q2"], id_col, hist=shist,
+                           narrow=_attach_strata(keys, mapping, value_col))
     split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("__rank_slot") + 1)
     return ranked.withColumn("split", split).drop("__rank_slot", HASH)
 

@@ -57,13 +57,13 @@ def kept(spark, d) -> DataFrame:
     return filters.filter_records(norm(spark, d))
 
 
-def sampled(spark, d) -> DataFrame:
+def sampled(spark, d, keep=None) -> DataFrame:
     k = normalize.relabel_category(kept(spark, d))
-    return sampling.sample_per_group(k, "category", "item_id", FRAC, MIN_SAMPLES, SEED)
+    return sampling.sample_per_group(k, "category", "item_id", FRAC, MIN_SAMPLES, SEED, keep=keep)
 
 
-def split_table(spark, d) -> DataFrame:
-    return splits.rare_stratified_split(kept(spark, d), "average_rating", RARE, seed=SEED)
+def split_table(spark, d, keep=()) -> DataFrame:
+    return splits.rare_stratified_split(kept(spark, d), "average_rating", RARE, seed=SEED, keep=list(keep))
 
 
 def preds(spark, d) -> DataFrame:
@@ -295,7 +295,7 @@ def q_c7_first_change(spark, d):
 # --- P: sampling and splits ---------------------------------------------------------------
 
 def q_p1_sample(spark, d):
-    return sampled(spark, d).select("item_id", "category")
+    return sampled(spark, d, keep=[]).select("item_id", "category")
 
 
 def q_p2_rare_strata(spark, d):
@@ -314,7 +314,8 @@ def q_p6_shuffle(spark, d):
     from kiln.operators.indexing import with_row_index
     s = split_table(spark, d).filter(F.col("split") == "train")
     s = s.withColumn("shuffle_key", splits.epoch_order(s, 1, "item_id", SEED))
-    return with_row_index(s, ["shuffle_key", "item_id"], "row_ord").select("item_id", "row_ord")
+    keys = s.select("item_id", "shuffle_key")
+    return with_row_index(keys, ["shuffle_key", "item_id"], "row_ord").select("item_id", "row_ord")
 
 
 # --- T: text and tokens -----------------------------------------------------------------
@@ -438,11 +439,11 @@ def q_i6_i7_rasters(spark, d):
 # --- W: weights -------------------------------------------------------------------------------
 
 def q_w1_mean_log_count(spark, d):
-    return weights.mean_log_count(split_table(spark, d)).select(r6("mean_log_count").alias("mean_log_count"))
+    return weights.mean_log_count(split_table(spark, d, ["rating_number"])).select(r6("mean_log_count").alias("mean_log_count"))
 
 
 def q_w2_weights(spark, d):
-    s = split_table(spark, d)
+    s = split_table(spark, d, ["rating_number"])
     w = weights.add_weights(s, weights.mean_log_count(s))
     return w.select("item_id", r6("weight").alias("weight"))
 
@@ -456,7 +457,7 @@ def q_w3_label_defaults(spark, d):
 # --- A: profiling -------------------------------------------------------------------------------
 
 def q_a1_category_counts(spark, d):
-    v = profile.value_counts(normalize.relabel_category(sampled(spark, d)), "main_category")
+    v = profile.value_counts(normalize.relabel_category(sampled(spark, d, keep=[])), "main_category")
     return v.select("main_category", F.col("count").cast("long").alias("count"), r6("percentage").alias("percentage"))
 
 
@@ -599,8 +600,7 @@ def q_v6_weighted_loss(spark, d):
 def _history(spark, d):
     w = _weighted_preds(spark, d).withColumn(
         "split", F.when(F.col("id") % 5 < 4, F.lit("train")).otherwise(F.lit("val")))
-    lr = w.select("run_id", "epoch").distinct().withColumn("lr", F.lit(2e-5) * F.col("epoch"))
-    return evaluation.epoch_history(w, lr)
+    return evaluation.epoch_history(w, F.lit(2e-5) * F.col("epoch"))
 
 
 def q_v7_history(spark, d):

@@ -134,3 +134,20 @@ def test_one_pass_split_equals_two_step(spark):
     key = ["item_id", "strat_label", "split"]
     assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
     assert b.filter("strat_label = 'nan'").count() == df.filter("average_rating is null").count()
+
+
+@pytest.mark.parametrize("quota", [1, 4, 7, 9, 10])
+def test_cut_among_rows_of_equal_id(spark, quota):
+    """Three rows of each of three ids and one without an id: the quota is met
+    exactly and whole ids go in hash order, the missing id first."""
+    rows = [(i, "g", f"t{j}") for i in ("a", "b", "c") for j in range(3)] + [(None, "g", "t0")]
+    df = spark.createDataFrame(rows, "item_id string, category string, title string")
+    counts = {}
+    for parts in (1, 5):
+        got = sampling.sample_per_group(df.repartition(parts), frac=0.0, min_samples=quota, seed=1).collect()
+        assert len(got) == quota and None in {r.item_id for r in got}
+        counts[parts] = sorted((r.item_id or "", r.title) for r in got)
+    assert counts[1] == counts[5]
+    whole = [i for i in ("a", "b", "c") if sum(k == i for k, _ in counts[1]) == 3]
+    part = [i for i in ("a", "b", "c") if 0 < sum(k == i for k, _ in counts[1]) < 3]
+    assert len(whole) == (quota - 1) // 3 and len(part) == (1 if (quota - 1) % 3 else 0)
