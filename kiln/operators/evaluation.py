@@ -11,10 +11,16 @@ from kiln.functions.metrics import smooth_l1
 from kiln.operators.scans import running_agg
 
 
-def pearson(x="prediction", y="label") -> Column:
+def _col(c, where: Column | None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c if where is None else F.when(where, c)
+
+
+def pearson(x="prediction", y="label", where: Column | None = None) -> Column:
     """V3: Pearson correlation; 0.0 with fewer than two rows or a constant
-    side (``corr`` itself would divide by zero under ANSI)."""
-    x, y = F.col(x), F.col(y)
+    side (``corr`` itself would divide by zero under ANSI). All aggregates here
+    take ``where``, the rows that they are about."""
+    x, y = _col(x, where), _col(y, where)
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)
     ok = (F.count(x) >= 2) & (sx > 0) & (sy > 0)
     return F.when(ok, F.covar_pop(x, y) / (sx * sy)).otherwise(F.lit(0.0))
@@ -26,25 +32,25 @@ def pearson_safe(x="prediction", y="label") -> Column:
     return F.when(F.isnan(r), F.lit(0.0)).otherwise(r)
 
 
-def regression_metrics(x="prediction", y="label", prefix: str = "") -> list[Column]:
+def regression_metrics(x="prediction", y="label", prefix: str = "", where: Column | None = None) -> list[Column]:
     """V2 + V3 + V5: mean smooth-L1 loss, MAE, RMSE (0 with no rows),
     correlation and population standard deviations."""
-    d = F.col(x) - F.col(y)
-    n = F.count(F.lit(1))
+    d = _col(F.col(x) - F.col(y), where)
+    n = F.count(_col(F.lit(1), where))
     return [
-        F.coalesce(F.avg(smooth_l1(x, y)), F.lit(0.0)).alias(f"{prefix}loss"),
+        F.coalesce(F.avg(_col(smooth_l1(x, y), where)), F.lit(0.0)).alias(f"{prefix}loss"),
         F.coalesce(F.avg(F.abs(d)), F.lit(0.0)).alias(f"{prefix}mae"),
         F.sqrt(F.coalesce(F.sum(d * d) / F.greatest(n, F.lit(1)), F.lit(0.0))).alias(f"{prefix}rmse"),
-        pearson(x, y).alias(f"{prefix}plcc"),
-        F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias(f"{prefix}std_pred"),
-        F.coalesce(F.stddev_pop(y), F.lit(0.0)).alias(f"{prefix}std_label"),
+        pearson(x, y, where).alias(f"{prefix}plcc"),
+        F.coalesce(F.stddev_pop(_col(x, where)), F.lit(0.0)).alias(f"{prefix}std_pred"),
+        F.coalesce(F.stddev_pop(_col(y, where)), F.lit(0.0)).alias(f"{prefix}std_label"),
     ]
 
 
-def weighted_loss(x="prediction", y="label", w="weight") -> Column:
+def weighted_loss(x="prediction", y="label", w="weight", where: Column | None = None) -> Column:
     """V6: ``sum(w · loss) / count`` (divided by the row count, not the
     weight sum)."""
-    return F.sum(F.col(w) * smooth_l1(x, y)) / F.count(F.lit(1))
+    return F.sum(_col(F.col(w) * smooth_l1(x, y), where)) / F.nullif(F.count(_col(F.lit(1), where)), F.lit(0))
 
 
 def evaluate(df: DataFrame, keys=("run_id",)) -> DataFrame:
@@ -52,20 +58,26 @@ def evaluate(df: DataFrame, keys=("run_id",)) -> DataFrame:
     return df.groupBy(*keys).agg(*regression_metrics())
 
 
-def epoch_history(preds: DataFrame, lr: DataFrame | None = None) -> DataFrame:
-    """V7: one row per (run, epoch): training loss (weighted), correlation
-    and spreads over the training rows; loss, correlation, MAE, RMSE and
-    spreads over the validation rows; ``lr`` passed through when given."""
-    train = (preds.filter(F.col("split") == "train").groupBy("run_id", "epoch")
-             .agg(weighted_loss().alias("train_loss"), pearson().alias("train_plcc"),
-                  F.stddev_pop("prediction").alias("train_std_pred"),
-                  F.stddev_pop("label").alias("train_std_label")))
-    val = (preds.filter(F.col("split") == "val").groupBy("run_id", "epoch")
-           .agg(*regression_metrics(prefix="val_")))
-    h = train.join(val, ["run_id", "epoch"], "inner")
-    if lr is not None:
-        h = h.join(lr, ["run_id", "epoch"], "left")
-    return h
+def epoch_history(preds: DataFrame, lr: DataFrame | Column | None = None) -> DataFrame:
+    """V7: one row per (run, epoch) that has training and validation rows:
+    training loss (weighted), correlation and spreads over the training rows;
+    loss, correlation, MAE, RMSE and spreads over the validation rows; ``lr`` is
+    passed through when given, as a table or as an expression over run and epoch.
+
+    Both splits are read in one scan and one grouping: every aggregate has its
+    split as condition, and all of them combine map-side."""
+    train, val = (F.col("split") == s for s in ("train", "val"))
+    keys = ["run_id", "epoch"]
+    h = (preds.filter(train | val).groupBy(*keys)
+         .agg(weighted_loss(where=train).alias("train_loss"), pearson(where=train).alias("train_plcc"),
+              F.stddev_pop(_col("prediction", train)).alias("train_std_pred"),
+              F.stddev_pop(_col("label", train)).alias("train_std_label"),
+              *regression_metrics(prefix="val_", where=val),
+              F.count(_col(F.lit(1), train)).alias("__train"), F.count(_col(F.lit(1), val)).alias("__val"))
+         .filter((F.col("__train") > 0) & (F.col("__val") > 0)).drop("__train", "__val"))
+    if isinstance(lr, Column):
+        return h.withColumn("lr", lr)
+    return h if lr is None else h.join(lr, keys, "left")
 
 
 def best_and_stop(history: DataFrame, metric: str = "val_plcc", patience: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ as SQL text (Python-whitespace strip, scrub, clean, details rendering)."""
 from __future__ import annotations
 
 from kiln.config import NA_TOKENS
+from kiln.operators.scoring import init_head
 from kiln.sources.fixtures import duck_ctes, render
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -250,6 +251,44 @@ def weighted_preds() -> str:
             "else 1.0 end, 5.0) as weight from predictions p)")
 
 
+def _numbers(v) -> str:
+    return "[" + ", ".join(f"{float(x):.17e}" for x in v) + "]"
+
+
+def _erf_sql(x: str, terms: int = 150) -> str:
+    """erf by its series of positive terms 2^n x^(2n+1) / (2n+1)!!, times
+    2 / sqrt(pi) * exp(-x^2); 1 beyond 6."""
+    c, cs = 1.0, []
+    for n in range(terms):
+        cs.append(c)
+        c *= 2.0 / (2 * n + 3)
+    return (f"(case when abs({x}) >= 6 then sign({x}) else 2 / sqrt(pi()) * exp(-{x} * {x}) * {x} * "
+            f"list_sum(list_transform({_numbers(cs)}, lambda c, n: c * pow({x} * {x}, n - 1))) end)")
+
+
+def _layer_sql(src: str, out: str, w, bias) -> str:
+    """CTEs of linear -> layer norm (unit gain, no shift) -> GELU over the
+    table ``src`` (vec_id, x); ``w`` holds one list of weights per output."""
+    rows = ", ".join(f"({j}, {_numbers(w[:, j])}, {float(bias[j]):.17e})" for j in range(w.shape[1]))
+    return f"""{out}_w(j, w, b) as (values {rows}),
+{out}_lin as (select vec_id, j, list_dot_product(x, w) + b as v from {src}, {out}_w),
+{out}_mv as (select vec_id, avg(v) as m, var_pop(v) as s from {out}_lin group by vec_id),
+{out}_n as (select vec_id, j, (v - m) / sqrt(s + 1e-5) as v from {out}_lin join {out}_mv using (vec_id)),
+{out}_e as (select vec_id, j, v, v / sqrt(2) as z from {out}_n),
+{out} as (select vec_id, list(0.5 * v * (1 + {_erf_sql('z')}) order by j) as x from {out}_e group by vec_id)"""
+
+
+def head_score_sql(p: dict) -> str:
+    """The scoring head over the gated and fused vectors of ``embeddings``; the
+    seeded weights are written out."""
+    return f"""with fused as (select vec_id, list_concat(
+    list_transform(embedding[1:32], lambda x: cast(x as double) * case when label % 2 = 0 then 1 else 0 end),
+    list_transform(embedding[33:64], lambda x: cast(x as double))) as x from embeddings),
+{_layer_sql('fused', 'h1', p['w1'], p['b1'])},
+{_layer_sql('h1', 'h2', p['w2'], p['b2'])}
+select vec_id, round(list_dot_product(x, {_numbers(p['w3'][:, 0])}) + {float(p['b3'][0]):.17e}, 6) as score from h2"""
+
+
 HISTORY = f"""hs as (select *, case when id % 5 < 4 then 'train' else 'val' end as split from wp),
 tr as (select run_id, epoch, sum(weight * ({smooth_l1()})) / count(*) as train_loss, {pearson()} as train_plcc,
    stddev_pop(prediction) as train_std_pred, stddev_pop(label) as train_std_label from hs where split = 'train' group by 1, 2),
@@ -453,6 +492,7 @@ from fit where it = 400""",
   round(stddev_pop(label), 6) as std_label from predictions group by run_id""",
     "V6_weighted_loss": with_views("predictions", extra=weighted_preds()) + f"""select run_id,
   round(sum(weight * ({smooth_l1()})) / count(*), 6) as train_loss from wp group by run_id""",
+    "M3_score": head_score_sql(init_head(64, 64, 1, seed=0)),
     "V7_history": with_views("predictions", extra=weighted_preds() + ",\n" + HISTORY) + """select run_id, epoch,
   round(train_loss, 6) as train_loss, round(train_plcc, 6) as train_plcc, round(train_std_pred, 6) as train_std_pred,
   round(train_std_label, 6) as train_std_label, round(val_loss, 6) as val_loss, round(val_plcc, 6) as val_plcc,

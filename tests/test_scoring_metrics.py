@@ -21,6 +21,26 @@ def test_head_matches_numpy(spark):
     assert np.allclose([got[i] for i in range(50)], want, atol=1e-12)
 
 
+def test_erf_against_the_math_library():
+    x = np.concatenate([np.linspace(-7, 7, 20011), [0.0, -0.0, 1e-300, 6.0, 1e9, -np.inf, np.inf]])
+    assert np.abs(scoring._erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-15
+    assert math.isnan(scoring._erf(np.array([np.nan]))[0])
+
+
+def test_head_by_hand(spark):
+    """Two inputs, one hidden unit pair, one output, worked out on paper: the
+    layer norm of (3, 1) and of (1, 3) is (1, -1) and (-1, 1) up to its epsilon."""
+    p = {"w1": np.eye(2), "b1": np.zeros(2), "g1": np.ones(2), "s1": np.zeros(2),
+         "w2": np.eye(2), "b2": np.zeros(2), "g2": np.ones(2), "s2": np.zeros(2),
+         "w3": np.array([[1.0], [10.0]]), "b3": np.array([0.5])}
+    df = spark.createDataFrame([(1, [3.0, 1.0]), (2, [1.0, 3.0]), (3, None)], "id long, features array<double>")
+    got = {r.id: r.score for r in scoring.score(df, p).collect()}
+    high, low = 0.8413447, -0.1586553                     # GELU of 1 and of -1
+    assert got[1] == pytest.approx(0.5 + high + 10 * low, abs=1e-3)
+    assert got[2] == pytest.approx(0.5 + low + 10 * high, abs=1e-3)
+    assert got[3] is None or math.isnan(got[3])
+
+
 def test_head_param_count_with_norms():
     p = scoring.init_head(1664, 512, 1)
     # linear weights + biases + two layer norms (gain and shift)
