@@ -30,7 +30,8 @@ def with_row_key(df: DataFrame, key: str = "item_id") -> DataFrame:
 
 def prepared(records: DataFrame, cfg: PrepareConfig = PrepareConfig(), hi_res="images.hi_res",
              large="images.large", videos="videos.url") -> DataFrame:
-    """The lazy preparation plan (no write)."""
+    """The preparation plan; the sample's keys are counted (and staged) at once,
+    the records themselves are read when the result is."""
     x = select_source_fields(with_row_key(records))
     n = normalize.normalize_records(x, hi_res=hi_res, large=large, videos=videos)
     k = normalize.relabel_category(filters.filter_records(n))
@@ -41,7 +42,7 @@ def prepared(records: DataFrame, cfg: PrepareConfig = PrepareConfig(), hi_res="i
 def prepare_catalogue(spark: SparkSession, records: DataFrame, stage_root: str,
                       cfg: PrepareConfig = PrepareConfig(), csv_path: str | None = None, **paths) -> DataFrame:
     """Build (or reuse) the cleaned stage; optionally export it as CSV."""
-    cleaned = cached_stage(spark, stage_root, "cleaned", asdict(cfg), lambda: prepared(records, cfg, **paths))
+    cleaned = cached_stage(spark, stage_root, "cleaned", asdict(cfg), lambda: prepared(records, cfg, **paths), [records])
     if csv_path:
         csv_src.write_csv(cleaned, csv_path, mode="overwrite")
     return cleaned

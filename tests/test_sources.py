@@ -44,6 +44,40 @@ def test_stage_cache_keyed_by_params(spark, tmpdir_path):
     assert {r.v for r in b.collect()} == {1} and {r.v for r in c.collect()} == {2} and a.count() == 3
 
 
+def test_stage_survives_a_broken_build(spark, tmpdir_path):
+    def broken():
+        raise RuntimeError("driver lost")
+
+    def half():
+        return spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    for build in (broken, half):
+        with pytest.raises(Exception, match="lost"):
+            stage.cached_stage(spark, tmpdir_path, "s", {}, build)
+    ok = stage.cached_stage(spark, tmpdir_path, "s", {}, lambda: spark.range(5))
+    assert ok.count() == 5
+    # An attempt that was written whole but never committed is not read either.
+    folder = os.path.join(tmpdir_path, stage.stage_key("t", {}, stage.input_fingerprint([])))
+    spark.range(9).write.parquet(os.path.join(folder, "attempt-lost"))
+    assert stage.cached_stage(spark, tmpdir_path, "t", {}, lambda: spark.range(2)).count() == 2
+    # A second commit cannot leave the manifest pointing at a missing table.
+    spark.range(7).write.parquet(os.path.join(folder, "attempt-late"))
+    stage._commit(spark, folder, "attempt-late")
+    assert stage.cached_stage(spark, tmpdir_path, "t", {}, broken).count() in (2, 7)
+
+
+def test_stage_misses_when_the_input_changes(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "in put+1")
+    calls = []
+
+    def get():
+        src = spark.read.schema("id long").parquet(path)
+        return stage.cached_stage(spark, tmpdir_path, "s", {}, lambda: calls.append(1) or src, [src])
+    spark.range(3).write.parquet(path)
+    assert get().count() == 3 and get().count() == 3 and len(calls) == 1
+    spark.range(4).write.mode("append").parquet(path)
+    assert get().count() == 7 and len(calls) == 2
+
+
 def test_json_report_and_history(spark, tmpdir_path):
     rep = spark.createDataFrame([(1, 0.5, None)], "run_id long, latency double, peak double")
     p = os.path.join(tmpdir_path, "rep")
