@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import ascii_lower, bloom_split, staged
+from kiln.llm.helpers import ascii_lower, bloom_split, quoted, staged, unused
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,12 +68,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = staged(digests(docs, id_col, text_col), "digests")
     classes = staged(merge_runs(rows, keep).filter("group_size > 1"), "digest-classes")
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("dd_digest", F.unhex(F.sha2(norm.cast("binary"), 256))).withColumn("dd_verify", F.xxhash64(norm))
-    maybe, never = bloom_split(keyed, "dd_digest", classes.select(F.col("digest").alias("dd_digest")))
-    c = classes.select(F.col("digest").alias("dd_digest"), F.col("verify").alias("dd_verify"), F.col("keep_id").alias("dd_keep"),
-                       F.lit(True).alias("dd_class"))
-    held = maybe.join(c, ["dd_digest", "dd_verify"], "left")
-    single = held.filter("dd_class IS NULL")
-    kept = (held.filter(F.col("dd_class") & F.col(id_col).eqNullSafe(F.col("dd_keep"))).dropDuplicates(["dd_digest", "dd_verify"]))
-    cols = docs.columns
+    digest, verify, keep_key, known = unused(docs, "dd_digest", "dd_verify", "dd_keep", "dd_class")
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(norm.cast("binary"), 256))).withColumn(verify, F.xxhash64(norm))
+    maybe, never = bloom_split(keyed, digest, classes.select(F.col("digest").alias(digest)))
+    c = classes.select(F.col("digest").alias(digest), F.col("verify").alias(verify), F.col("keep_id").alias(keep_key),
+                       F.lit(True).alias(known))
+    held = maybe.join(c, [digest, verify], "left")
+    single = held.filter(F.col(known).isNull())
+    kept = held.filter(F.col(known) & F.col(id_col).eqNullSafe(F.col(keep_key))).dropDuplicates([digest, verify])
+    cols = quoted(docs.columns)
     return never.select(*cols).unionByName(single.select(*cols)).unionByName(kept.select(*cols))

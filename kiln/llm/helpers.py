@@ -62,8 +62,12 @@ def bounded_fraction(df: DataFrame, key: str, n_rows: int, total: int) -> DataFr
     """Deterministic hash sample of about ``n_rows`` of ``total`` rows."""
     if total <= n_rows:
         return df
-    cut = int(n_rows / total * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < cut)
+    # Shares are counted in millionths, or finer where the share itself is small.
+    unit = 1_000_000
+    while n_rows * unit < 100 * total:
+        unit *= 1000
+    cut = n_rows * unit // total
+    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(unit)) < cut)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column,
@@ -136,6 +140,28 @@ def binary_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def quoted(cols: list[str]) -> list[Column]:
+    """Columns by exact name, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in cols]
+
+
+def numbered(cols: list[str]) -> list[Column]:
+    """``quoted`` columns named by position (c0, c1, ..): ``mapInArrow`` takes no
+    dots in the names of its input."""
+    return [c.alias(f"c{i}") for i, c in enumerate(quoted(cols))]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores appended until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 BLOOM_BLOCKS = 1 << 20    # a filter broadcast by bloom_split has at most this many 16-byte rows
 
 
@@ -153,7 +179,8 @@ def bloom_split(big: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, D
     blocked Bloom filter of bounded size, broadcast. Null keys are not. An
     exact join must follow on the first part."""
     block, mask = _bloom_key(key)
-    bloom = keys.select(block.alias("bloom_b"), mask.alias("m")).groupBy("bloom_b").agg(F.bit_or("m").alias("bloom_m"))
-    hit = F.col("bloom_m").isNotNull() & (F.col("bloom_m").bitwiseAND(mask) == mask) & F.col(key).isNotNull()
-    tested = big.withColumn("bloom_b", block).join(F.broadcast(bloom), "bloom_b", "left")
-    return tested.filter(hit).drop("bloom_b", "bloom_m"), tested.filter(~hit).drop("bloom_b", "bloom_m")
+    b, m = unused(big, "bloom_b", "bloom_m")
+    bloom = keys.select(block.alias(b), mask.alias("m")).groupBy(b).agg(F.bit_or("m").alias(m))
+    hit = F.col(m).isNotNull() & (F.col(m).bitwiseAND(mask) == mask) & F.col(key).isNotNull()
+    tested = big.withColumn(b, block).join(F.broadcast(bloom), b, "left")
+    return tested.filter(hit).drop(b, m), tested.filter(~hit).drop(b, m)

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.components import connected_components
-from kiln.llm.helpers import bloom_split, mix64, slices, staged, unstage
+from kiln.llm.helpers import bloom_split, mix64, quoted, slices, staged, unstage
 
 SKETCH, INDEXED, RUN = 64, 48, 3
 SMALL = 5                 # sets of up to this many values are listed under their runs of two too
@@ -391,4 +391,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     all columns stay, and rows with a null id."""
     gone = staged(near_dedup(docs, id_col, text_col, shingle, percent).filter(~F.col("kept")).select(F.col(id_col)).distinct(), "nd-dropped")
     maybe, never = bloom_split(docs, id_col, gone)
-    return maybe.join(gone, id_col, "left_anti").select(*docs.columns).unionByName(never.select(*docs.columns))
+    cols = quoted(docs.columns)
+    return maybe.join(gone, id_col, "left_anti").select(*cols).unionByName(never.select(*cols))

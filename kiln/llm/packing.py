@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import staged
+from kiln.llm.helpers import ascii_lower, staged
 
 CAPACITY = 8192
 SHARD_PIECES = 4096
@@ -66,9 +66,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
          cluster: Column | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per packed piece: shard, bin, id, piece, text_start, n_bytes,
     bin_offset. ``cluster``: the duplicate cluster of a document (default: the
-    hash of its text). Whole sequences cut from long texts are bins of their
+    class of equal texts after lower-casing A-Z, as in exact dedup). Whole sequences cut from long texts are bins of their
     own in shard -1, numbered within their document (``bin`` = piece)."""
-    cluster = F.md5(F.col(text_col).cast("binary")) if cluster is None else cluster
+    cluster = F.md5(ascii_lower(F.col(text_col)).cast("binary")) if cluster is None else cluster
     rows = staged(docs.select(F.col(id_col).alias("pk_id"), F.octet_length(text_col).cast("bigint").alias("size"),
                               F.col(source_col).cast("string").alias("pk_source"), cluster.cast("string").alias("pk_cluster"))
                   .filter("size > 0"), "pack-pieces")

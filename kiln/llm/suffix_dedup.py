@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.helpers import bloom_split, buffers, mix64, slices, staged
+from kiln.llm.helpers import bloom_split, buffers, mix64, numbered, quoted, slices, staged, unused
 
 LENGTH, COVER, SEED_BYTES = 400, 128, 12
 SLICE = 1 << 18
@@ -262,20 +262,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     stay, rows left without text are dropped. A character cut in two by a span
     edge is dropped whole, so the text stays valid UTF-8. Untouched texts
     (null ones too) stay as they are."""
-    key = "sd_text_key"
+    key, starts, stops = unused(docs, "sd_text_key", "sd_starts", "sd_stops")
     keyed = docs.withColumn(key, text_key(text_col))
     spans = repeated_spans(keyed.select(F.col(key).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, cover)
     maybe, never = bloom_split(keyed, key, spans.select(F.col("th").alias(key)))
-    joined = maybe.join(spans.withColumnsRenamed({"th": key, "starts": "sd_starts", "stops": "sd_stops"}), key, "left")
+    joined = maybe.join(spans.withColumnsRenamed({"th": key, "starts": starts, "stops": stops}), key, "left")
     schema = docs.schema
     cols = docs.columns
+    at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, f"c{at}"):
             out = [t if s is None else _kept(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in
-                   zip(b.column(text_col).to_pylist(), b.column("sd_starts").to_pylist(), b.column("sd_stops").to_pylist())]
-            keep = [not (s is not None and t == "") for t, s in zip(out, b.column("sd_starts").to_pylist())]
-            new = pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else b.column(c) for c in cols], names=cols)
+                   zip(b.column(at).to_pylist(), b.column(starts).to_pylist(), b.column(stops).to_pylist())]
+            keep = [not (s is not None and t == "") for t, s in zip(out, b.column(starts).to_pylist())]
+            new = pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(cols))], names=cols)
             yield new.filter(pa.array(keep))
 
-    return joined.select(*cols, "sd_starts", "sd_stops").mapInArrow(run, schema).unionByName(never.select(*cols))
+    return joined.select(*numbered(cols), starts, stops).mapInArrow(run, schema).union(never.select(*quoted(cols)))

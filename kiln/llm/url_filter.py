@@ -1,8 +1,8 @@
 """URL rules behind a blocked Bloom filter (DataFrame functions only).
 
 Each rule is a listed canonical URL: a host (fitting its subdomains) and a
-path prefix. A page's candidate keys are its host suffixes times its path
-prefixes of the lengths that occur in the list. A blocked Bloom filter of the
+path prefix. A page's candidate keys are its host suffixes of the label counts
+that occur in the list times its path prefixes of the lengths that occur in it. A blocked Bloom filter of the
 listed keys passes possible hits; an exact hash join with the list removes the
 false positives; the longest listed rule wins.
 
@@ -64,14 +64,16 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                            F.col("verdict").alias("listed_verdict"))
               .dropna().groupBy("key_host", "key_path").agg(F.min("listed_verdict").alias("listed_verdict")))
     listed = staged(listed, "url-rules")
-    size = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("key_path")).alias("lens")).first()
+    size = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("key_path")).alias("lens"),
+                      F.collect_set(F.size(F.split("key_host", r"\.", -1))).alias("labels")).first()
     bloom, blocks = bloom_blocks(listed, size["n"])
 
     base = pages.select(F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
                         F.col(url_col).contains("://").alias("has_host"))
     labels = F.split(F.col("host"), r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    depths = F.array(*[F.lit(n) for n in sorted(size["labels"])]).cast("array<int>")
+    suffixes = F.transform(F.filter(depths, lambda k: k <= F.size(labels)),
+                           lambda k: F.concat_ws(".", F.slice(labels, F.size(labels) - k + 1, k)))
     lens = F.array(*[F.lit(n) for n in sorted(size["lens"])]).cast("array<int>")
     prefixes = F.transform(F.filter(lens, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     cand = (base.filter("has_host").select("host", "path", F.explode(suffixes).alias("key_host"), prefixes.alias("prefixes"))

@@ -14,7 +14,7 @@ from kiln.llm import knn, language_id, packing, quality, segmentation, toxicity,
 from kiln.llm.helpers import held_out_of, read, slices
 from kiln.llm.queries import QUERIES, URL_RULES
 
-from ..conftest import SF01
+from ..conftest import SF001, SF01
 
 ODD = [None, "", "   ", "123 !!", "a", "é", "x" * 5000, "\n\n"]
 SCHEMA = "doc_id long, text string, lang string, score double, label int"
@@ -43,6 +43,48 @@ def test_language_odd_rows(spark):
     assert language_id.language_id(odd_docs(spark).limit(0), model).count() == 0
 
 
+def test_language_by_direct_sizes(spark):
+    """Every row's answer from the compressed sizes themselves, ties included."""
+    docs = read(spark, SF001, "documents").select("doc_id", "text", F.col("lang").alias("Score"), "lang")
+    model = language_id.fit_dictionaries(docs, F.lit(True))
+    langs, enc = list(model), language_id.encoders(model)
+    got = {r.doc_id: r for r in language_id.language_id(docs, model, keep=["doc_id", "Score"]).collect()}
+    assert len(got) == docs.count() and set(next(iter(got.values())).asDict()) == {"doc_id", "lang_pred", "score", "accepted"}
+    accepted = {r.doc_id: r for r in language_id.accepted_rows(docs, model).collect()}
+    for r in docs.collect():
+        raw = r.text.lower().encode()
+        parts = [raw[i:i + language_id.BLOCK] for i in range(0, len(raw), language_id.BLOCK)]
+        sizes = {lang: sum(map(len, map(e.compress, parts))) for lang, e in zip(langs, enc)}
+        best = min(sizes.values())
+        assert got[r.doc_id].lang_pred == min(x for x in langs if sizes[x] == best)
+        assert sum(v == best for v in sizes.values()) == 1 or not got[r.doc_id].accepted
+        assert (r.doc_id in accepted) == got[r.doc_id].accepted
+        assert r.doc_id not in accepted or accepted[r.doc_id] == r
+
+
+def test_more_than_64_languages(spark):
+    def text(k):
+        rng = random.Random(k)
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(25))
+    rows = [(k * 2 + j, text(k), f"l{k:03d}") for k in range(90) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_dictionaries(docs, F.lit(True))
+    assert list(model) == [f"l{k:03d}" for k in range(90)]
+    small = language_id.fit_dictionaries(docs, F.lit(True), max_docs=90)
+    assert list(small) == list(model) and all(len(small[x]) <= 300 for x in small)
+    for r in language_id.language_id(docs, model, keep=["lang"]).collect():
+        assert r.lang_pred == r.lang
+
+
+def test_bounded_fraction_at_every_size(spark):
+    from kiln.llm.helpers import bounded_fraction
+    df = spark.range(200_000)
+    for total, want in ((1000, 200_000), (8_000_000, 100), (400_000_000, 2)):
+        n = bounded_fraction(df, "id", 4000, total).count()
+        assert n == want if total == 1000 else want * 0.4 <= n <= want * 3 + 4
+    assert bounded_fraction(spark.range(10), "id", 4000, 4 * 10 ** 14).count() <= 10
+
+
 @pytest.mark.parametrize("name,target,held", [("op6_toxicity", "toxic", 0.7), ("op8_quality", "quality", 0.9)])
 def test_classifier_held_out(spark, name, target, held):
     got = (QUERIES[name](spark, SF01).join(read(spark, SF01, "labels"), "doc_id").filter("held_out")
@@ -118,6 +160,22 @@ def test_url_rules_odd_rows(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_many_labels(spark):
+    import time
+    host = "a." * 40_000 + "net"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, f"http://{host}"), (3, f"http://{host}x/x")], "page_id long, url string")
+    rules = spark.sql(f"SELECT * FROM ({URL_RULES}) AS r(host, path, verdict)")
+    t0 = time.perf_counter()
+    assert {r.page_id: r.rule for r in url_filter.url_filter(pages, rules).collect()} == {1: "net/", 2: None, 3: None}
+    assert time.perf_counter() - t0 < 30
+
+
+def test_copies_in_other_case_share_no_bin(spark):
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["Abc", "aBC", "ABC", "abd"])], "doc_id long, text string, source string")
+    where = {r.doc_id: (r.shard, r.bin) for r in packing.pack(docs, capacity=100).collect()}
+    assert len({where[i] for i in range(3)}) == 3
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(4)
     items = sorted(((rng.randrange(1, 100), rng.choice("aaabc"), rng.randrange(30)) for _ in range(300)), reverse=True)

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kiln.llm.helpers import read
+from kiln.llm.helpers import read, staged
 from kiln.llm.queries import ORACLE, QUERIES
 
 from ..conftest import SF001
@@ -52,6 +53,24 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id: r[1] for r in packed} == {i: len(r.text.encode()) for i, r in after.items()}
 
 
+CLASHES = ["Score", "accepted", "lang_pred", "bloom_b", "bloom_m", "dd_digest", "dd_class", "sd_starts", "sd_text_key",
+           "nd_id", "th", "keep_id", "component", "a.b", "n_bytes", "pk_id", "shard"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = read(spark, SF001, "documents")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    plain = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = staged(stage(spark, wide, SF001), "test"), staged(stage(spark, plain, SF001), "test")
+        assert wide.columns == docs.columns + CLASHES
+        rows = wide.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES)
+    packed = [sorted(map(tuple, corpus_pipeline.pack_sequences(spark, d, SF001).collect())) for d in (wide, plain)]
+    assert packed[0] == packed[1]
+
+
 def test_run_and_empty_input(spark):
     assert corpus_pipeline.run(spark, SF001).count() > 0
     docs = read(spark, SF001, "documents").limit(0)
