@@ -22,8 +22,7 @@ PASSAGE_BYTES, PASSAGE_COVER = 250, 128
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; rejected ones go."""
     model = language_id.fit_dictionaries(docs, ~held_out_of("doc_id", (4, 2)))
-    cols = docs.columns
-    return language_id.language_id(docs, model, keep=cols).filter("accepted").select(*cols)
+    return language_id.accepted_rows(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
