@@ -61,6 +61,22 @@ def test_no_exchange_above_the_token_arrays(spark):
     assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
 
 
+def test_a_large_vocabulary_stages_the_rows_once_and_no_text(spark, monkeypatch):
+    rows = [(i % 4, " ".join(f"w{chr(97 + (i * j) % 23)} only{chr(97 + i)} all" for j in range(i))) for i in range(12)] + [(0, None), (0, "new")]
+    d = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    v = text_features.build_vocabulary(d.filter("text <> 'new'"), "text")
+    staged = []
+    kept = text_features.stage_parquet
+    monkeypatch.setattr(text_features, "stage_parquet", lambda df, name: staged.append(df.columns + df.schema["row"].dataType.names) or kept(df, name))
+    want = sorted(map(tuple, text_features.encode(d, v).collect()))
+    assert not staged
+    for block in (1, 2, 5):
+        staged.clear()
+        got = text_features.with_token_ids(d, v, block=block, keep=["item_id"])
+        assert sorted(map(tuple, got.collect())) == want
+        assert staged == [["row", "ids", "rare", "rid", "item_id"]]      # one stage for any number of blocks
+
+
 def test_batches_and_counts(spark):
     d = spark.range(70).select(F.col("id").alias("item_id"),
                                F.array_repeat(F.lit(7), (F.col("id") % 5 + 1).cast("int")).alias("input_ids"))
