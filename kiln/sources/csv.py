@@ -17,6 +17,17 @@ from kiln.config import NA_TOKENS
 
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 MALFORMED = "_malformed"
+BATCH_BYTES = 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Unless the session sets a limit, Arrow batches hold at most
+    ``BATCH_BYTES``: by rows alone, a Python worker's memory would grow with the
+    length of the lines. Records are read when the caller acts, so the limit
+    stays set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def _parity(c: Column) -> Column:
@@ -47,6 +58,19 @@ def split_states(lines: DataFrame) -> DataFrame:
     return state.select("file", "block", "inside", F.when(F.col("inside"), owner).alias("owner"))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], max_bytes: int = BATCH_BYTES // 4) -> Iterator[pa.RecordBatch]:
+    """Runs of lines of about ``max_bytes`` (a longer line is a run of its own),
+    which bounds the copies and Python strings made of a batch."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("value")), 0), dtype=np.int64))
+        start = 0
+        while start < b.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (file, block, value, inside, owner) in file order -> records
     (file, block, owner, tail, text): whole ones (null owner), and the parts of
@@ -60,7 +84,7 @@ def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None
         return (here[0], here[1], owner if owner is not None else here[1], "\n".join(held))
 
-    for b in batches:
+    for b in _bounded(batches):
         value = pc.fill_null(b.column("value"), "")
         odd = np.asarray(pc.count_substring(value, '"'), dtype=np.int64) % 2
         file, block = b.column("file").dictionary_encode(), np.asarray(b.column("block"))
@@ -121,6 +145,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     which bounds what is broadcast; only records that go over a split's end are
     shuffled, at most two parts per split. Every quote must belong to a quoted
     field, as writers of the format quote any field that holds one."""
+    _bound_batches(spark)
     lines = _lines(spark, path)
     states = split_states(lines).select(F.col("file").alias("of_file"), F.col("block").alias("of_block"), "inside", "owner")
     rows = (lines.join(F.broadcast(states), (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block")))

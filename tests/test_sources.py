@@ -165,3 +165,28 @@ def test_csv_blank_lines_crlf_and_malformed_records(spark, tmpdir_path):
     assert sorted(r.text for r in csv_src.malformed_records(spark, root, TITLED).collect()) == ["c", "f,3,4"]
     with pytest.raises(ValueError, match="no column other"):
         csv_src.read_csv_keep_empty(spark, root, T.StructType([T.StructField("other", T.StringType())]))
+
+
+def test_csv_lines_reach_python_in_batches_bounded_by_bytes(spark, tmpdir_path, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    root = _csv_dir(os.path.join(tmpdir_path, "b"), {"a.csv": [[i, "x", "y" * 4000] for i in range(4000)]})
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"file": ["f"], "block": pa.array([0], pa.int64()), "owner": pa.array([None], pa.int64()),
+                                              "text": [str(b.nbytes)]})
+
+    try:
+        spark.conf.unset(key)
+        with monkeypatch.context() as m:
+            m.setattr(csv_src, "_record_rows", sizes)
+            got = [int(r.text) for r in csv_src.csv_records(spark, root).collect()]
+        assert sum(got) > 16_000_000 and max(got) < 5_000_000
+        assert sorted((r.item_id, len(r.title)) for r in csv_src.read_csv_keep_empty(spark, root, TITLED).collect()) == [(i, 4000) for i in range(4000)]
+        spark.conf.set(key, "1000000")
+        csv_src.csv_records(spark, root)
+        assert spark.conf.get(key) == "1000000"              # a limit of the session's own stays
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
