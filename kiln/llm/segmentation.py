@@ -44,6 +44,7 @@ _LITERAL = "\udc81"            # stands for a U+2581 of the text itself; cannot
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _SPLIT = re.compile(f"[^{BLANK}]{BLANK}")
 REACH = 38.0                 # largest excess of a Gumbel drawn from uniforms of 54 bits
+AHEAD = 512                  # steps of a path drawn at once
 SLICE = 4 << 20              # bytes of text worked on at a time
 
 
@@ -312,17 +313,20 @@ def top_samples(t: dict, edges: list[np.ndarray], offs: list[np.ndarray], lo: in
         cannot win and are not drawn."""
         n = len(path)
         base = (seed + 0x632BE59BD9B4E019 * (tag + 1)) & (2**64 - 1)
-        stop = min(n, from_step + 64)
+        lp = t["logp"][path]
+        before = np.cumsum(lp) - lp
+        g = np.full(n, -np.inf)
+        drawn, stop = from_step, min(n, from_step + 64)
         while True:
-            lp = t["logp"][path[:stop]]
-            before = np.cumsum(lp) - lp
-            u = _uniform(np.uint64(base) + np.arange(stop - from_step, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-            g = np.full(stop, -np.inf)
-            g[from_step:] = _truncated(before[from_step:] + t["rest"][path[from_step:stop]], bound, u)
-            if stop == n or before[-1] + REACH < g.max(initial=-np.inf):
+            if stop > drawn:                             # each step is drawn once, at least AHEAD of them together
+                to = min(n, max(stop, from_step + AHEAD))
+                u = _uniform(np.uint64(base) + np.arange(drawn - from_step, to - from_step, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+                g[drawn:to] = _truncated(before[drawn:to] + t["rest"][path[drawn:to]], bound, u)
+                drawn = to
+            if stop == n or before[stop - 1] + REACH < g[:stop].max(initial=-np.inf):
                 break
             stop = min(n, 2 * stop)
-        return {"path": path, "before": before, "g": g, "used": {}, "log": float(t["logp"][path].sum())}
+        return {"path": path, "before": before, "g": g[:stop], "used": {}, "log": float(lp.sum())}
 
     g0 = float(-math.log(-math.log(draw(0))))
     nodes = [opened(edges[0][offs[0][lo]:offs[0][hi]], 0, g0, 1)]
@@ -339,7 +343,7 @@ def top_samples(t: dict, edges: list[np.ndarray], offs: list[np.ndarray], lo: in
         tried = node["used"].setdefault(i, [int(node["path"][i])])
         all_e = np.arange(t["start"][state], t["start"][state + 1])
         p = np.exp(t["logp"][all_e])
-        p[np.isin(all_e, tried)] = 0
+        p[np.array(tried) - all_e[0]] = 0
         c = np.cumsum(p)
         tag = 10 * len(out)
         u = draw(tag)

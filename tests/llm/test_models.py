@@ -287,3 +287,18 @@ def test_slices_cover_rows():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (1, 50, 3, 3, 200, 0)] + [None])], names=["text"])
     got = [x.as_py() for s in slices(iter([b]), "text", 40) for x in s.column(0)]
     assert got == b.column(0).to_pylist()
+
+
+def test_op7_draws_every_branch_once(monkeypatch):
+    """No step of an opened path takes a second Gumbel while its stop moves on."""
+    import pyarrow as pa
+    lat = segmentation.Lattices(segmentation.load_pieces())
+    _, _, words, size, uid, bound = segmentation.coded_units(pa.array(["another thing reads whole " * 30]))
+    t = lat.table(words, size)
+    drawn = [segmentation.sample_paths(t, t["first"][uid], np.arange(len(uid), dtype=np.uint64) + np.uint64(j)) for j in (1, 1000)]
+    seen = []
+    truncated = segmentation._truncated
+    monkeypatch.setattr(segmentation, "_truncated", lambda m, b, u: seen.append(len(u)) or truncated(m, b, u))
+    got = segmentation.top_samples(t, [e for e, _ in drawn], [o for _, o in drawn], int(bound[0]), int(bound[1]), 5, 2)
+    assert len(got) == 3 and 64 < len(got[0][0])
+    assert sum(seen) <= sum(len(path) for path, _, _ in got[:-1])
