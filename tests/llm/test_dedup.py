@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kiln.llm import exact_dedup, near_dedup, suffix_dedup
+from kiln.llm import exact_dedup, near_dedup, queries, suffix_dedup
 from kiln.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, kept boolean, n long, score double"   # extra columns with clashing names
@@ -176,6 +176,22 @@ def test_suffix_dedup_matches_brute_force(spark, rows, length, cover):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_suffix_dedup_query_on_planted_passages(spark, tmp_path):
+    """Of passages over 50 words, those from 400 bytes on go in every copy; shorter ones stay, and n_bytes is the input size."""
+    rng = random.Random(5)
+    long, short = " ".join(words(rng, 110)), " ".join(words(rng, 60))
+    assert len(long) > 400 > len(short)
+    planted = {i: (long if i < 8 else short if i < 16 else "") for i in range(24)}
+    rows = [(i, (f"{' '.join(words(rng, 50 + i))} {p} " + " ".join(words(rng, 600)))[:2000]) for i, p in planted.items()]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = brute_spans(rows, 400)
+    for i, p in planted.items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == want[i][:3]
+        assert got[i].n_bytes == 2000 and got[i].changed == (p == long) and got[i].n_removed >= len(long) * (p == long)
+        assert got[i].kept_sha256 == hashlib.sha256(want[i][3]).hexdigest()
+
+
 def test_remove_repeats_keeps_valid_text(spark, rows):
     want = brute_spans(rows, 90)
     df = frame(spark, rows)
